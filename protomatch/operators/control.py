@@ -27,10 +27,10 @@ def shuffle_sequences(sequences: DataFrame, id_column: str, seed: int = 42, key:
         F.split("seq", ""), lambda c, i: F.struct(hashed(i + 1).alias("key"), (i + 1).alias("place"), c.alias("letter"))
     )
     permuted = F.array_join(F.transform(F.sort_array(keyed), lambda s: s["letter"]), "")
-    return sequences.withColumns({
-        id_column: F.concat(F.col(id_column).cast("string"), F.lit(f"-{SHUFFLED_TAG}")),
-        "seq": F.when(F.length("seq") > 0, permuted).otherwise(F.col("seq")),
-    })
+    # The hash needs the original id, so the id gets its tag in a step of its own.
+    return sequences.withColumn("seq", F.when(F.length("seq") > 0, permuted).otherwise(F.col("seq"))).withColumn(
+        id_column, F.concat(F.col(id_column).cast("string"), F.lit(f"-{SHUFFLED_TAG}"))
+    )
 
 
 def length_class(targets: DataFrame, cut: int = SEARCH_CUT, length: str = "target_length") -> DataFrame:

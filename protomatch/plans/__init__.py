@@ -1,10 +1,23 @@
 from protomatch.plans.workflow import (
     Lookups,
-    analyse_hits,
+    all_matches,
+    classify,
     match_table,
     process_all,
     process_matches,
     run_workflow,
+    score_tables,
+    stack,
 )
 
-__all__ = ["Lookups", "analyse_hits", "match_table", "process_all", "process_matches", "run_workflow"]
+__all__ = [
+    "Lookups",
+    "all_matches",
+    "classify",
+    "match_table",
+    "process_all",
+    "process_matches",
+    "run_workflow",
+    "score_tables",
+    "stack",
+]

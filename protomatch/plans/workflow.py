@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protomatch.operators.collapse import collapse_targets
-from protomatch.operators.dedupe import DATABASE_PREFERENCE, dedupe_spacers
+from protomatch.operators.dedupe import dedupe_spacers
 from protomatch.operators.enrich import (
     MATCH_COLUMN_ORDER,
     add_spacer_details,
@@ -27,6 +27,7 @@ from protomatch.operators.parse import coerce_numbers, parse_ids
 from protomatch.operators.report import HEADINGS, annotate_taxonomy, score_table
 from protomatch.operators.select import select_hits
 from protomatch.sources import sinks
+from protomatch.sources.staging import SharedStage, Stage, lazily
 
 KINDS = ("genbank", "imgvr")
 
@@ -62,35 +63,44 @@ def match_table(hits: DataFrame, lookups: Lookups, target_kind: str, split_on: s
     return front(named, MATCH_COLUMN_ORDER)
 
 
-def process_matches(matches: DataFrame, lookups: Lookups, target_kind: str, null_policy: str = "propagate") -> DataFrame:
-    """Match table to processed hits: classify, keep ungapped, select, collapse."""
-    classified = (
-        classify_genbank(matches, lookups.nucleoid_genbank) if target_kind == "genbank"
-        else classify_imgvr(matches, lookups.nucleoid_imgvr)
-    )
-    return collapse_targets(select_hits(ungapped(classified), null_policy=null_policy), null_policy)
-
-
 def stack(tables: Sequence[DataFrame]) -> DataFrame:
     """Rows of all tables, matched by column name; columns a table lacks are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def process_all(hits: DataFrame, lookups: Lookups, null_policy: str = "propagate") -> DataFrame:
-    """Processed hits of every system, database and run from one table of raw hits.
+def all_matches(hits: DataFrame, lookups: Lookups) -> DataFrame:
+    """The match table of both kinds of database."""
+    return stack([match_table(hits.filter(is_kind(k)), lookups, k) for k in KINDS])
 
-    Groups are kept apart by the file columns, so this equals processing each
-    result file on its own and stacking the results.
-    """
+
+def classify(matches: DataFrame, lookups: Lookups) -> DataFrame:
+    """Nucleoid labels, looked up by genome for one kind of database and by target for the other."""
     return stack([
-        process_matches(match_table(hits.filter(is_kind(k)), lookups, k), lookups, k, null_policy) for k in KINDS
+        classify_genbank(matches.filter(is_kind("genbank")), lookups.nucleoid_genbank),
+        classify_imgvr(matches.filter(is_kind("imgvr")), lookups.nucleoid_imgvr),
     ])
 
 
-def analyse_hits(hits: DataFrame, database_preference: Sequence[str] = DATABASE_PREFERENCE,
-                 headings: Sequence[str] | None = HEADINGS) -> dict[str, DataFrame]:
-    """The four score tables from de-duplicated hits."""
-    unique = dedupe_spacers(hits, database_preference)
+def process_matches(matches: DataFrame, lookups: Lookups, null_policy: str = "propagate",
+                    stage: Stage = lazily) -> DataFrame:
+    """Match table to processed hits: classify, keep ungapped, select, collapse.
+
+    Groups are kept apart by the file columns, so one call for any number of
+    systems, databases and runs equals processing each result file on its own
+    and stacking the results. Matches and selected hits are read several times,
+    so either should come from a table: pass ``stage`` for large data.
+    """
+    selected = select_hits(ungapped(classify(matches, lookups)), null_policy=null_policy, stage=stage)
+    return collapse_targets(stage(selected, "selected"), null_policy)
+
+
+def process_all(hits: DataFrame, lookups: Lookups, null_policy: str = "propagate", stage: Stage = lazily) -> DataFrame:
+    """Processed hits of every system, database and run from one table of raw hits."""
+    return process_matches(stage(all_matches(hits, lookups), "target_matches"), lookups, null_policy, stage)
+
+
+def score_tables(unique: DataFrame, headings: Sequence[str] | None = HEADINGS) -> dict[str, DataFrame]:
+    """The four score tables of de-duplicated hits."""
     return {
         "all": score_table(unique, headings=headings),
         "large": score_table(unique, size="large", headings=headings),
@@ -109,26 +119,21 @@ def run_workflow(hits: DataFrame, lookups: Lookups, taxonomy: DataFrame, out: st
                  headings: Sequence[str] | None = HEADINGS) -> dict[str, str]:
     """Run everything and write each table below ``out``; returns where each one is.
 
-    Each stage continues from the table the previous one wrote, so a lost
-    executor costs one stage, and the selection rules, which read the matches
-    twice, do not repeat the lookup joins.
+    Each step continues from the table the previous one wrote, so a lost
+    executor costs one step. Tables that are no result go to the shared
+    checkpoint folder and are deleted at the end.
     """
     paths = {name: f"{out}/{name}" for name in (
-        "target_matches_genbank", "target_matches_imgvr", "processed_genbank", "processed_imgvr", "hits",
-        "unique_hits", "score_table_all", "score_table_large", "score_table_small", "score_table_nucleoid",
-        "nucleoid_hits",
+        "target_matches", "processed", "hits", "unique_hits", "score_table_all", "score_table_large",
+        "score_table_small", "score_table_nucleoid", "nucleoid_hits",
     )}
-    processed = []
-    for kind in KINDS:
-        matches = _written(match_table(hits.filter(is_kind(kind)), lookups, kind),
-                           paths[f"target_matches_{kind}"], sinks.write_match_table)
-        processed.append(_written(process_matches(matches, lookups, kind),
-                                  paths[f"processed_{kind}"], sinks.write_processed))
-    stacked = _written(stack(processed), paths["hits"], sinks.write_hits_table)
+    stage = SharedStage(hits.sparkSession)
+    matches = _written(all_matches(hits, lookups), paths["target_matches"], sinks.write_match_table)
+    processed = _written(process_matches(matches, lookups, stage=stage), paths["processed"], sinks.write_processed)
+    stage.discard()
+    stacked = _written(processed, paths["hits"], sinks.write_hits_table)
     unique = _written(dedupe_spacers(stacked), paths["unique_hits"], sinks.write_annotated_hits)
-    for name, options in (
-        ("all", {}), ("large", {"size": "large"}), ("small", {"size": "small"}), ("nucleoid", {"nucleoid_only": True}),
-    ):
-        sinks.write_score_table(score_table(unique, headings=headings, **options), paths[f"score_table_{name}"])
+    for name, table in score_tables(unique, headings).items():
+        sinks.write_score_table(table, paths[f"score_table_{name}"])
     sinks.write_annotated_hits(annotate_taxonomy(unique, taxonomy), paths["nucleoid_hits"])
     return paths

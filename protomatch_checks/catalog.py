@@ -23,9 +23,10 @@ from protomatch.operators.enrich import (
 from protomatch.operators.parse import coerce_numbers, parse_ids
 from protomatch.operators.search import SearchSettings, search
 from protomatch.operators.select import select_hits
-from protomatch.plans import match_table, process_all
-from protomatch.plans.workflow import KINDS, is_kind, process_matches, stack
+from protomatch.plans import all_matches, classify, match_table, process_all, stack
+from protomatch.plans.workflow import is_kind
 from protomatch.sources import drop_header_lines, pairs_to_lines
+from protomatch.sources.staging import SharedStage, Stage, lazily
 from protomatch_checks import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,14 +41,15 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_spacer_details(coerce_numbers(_parsed(spark, sf_dir)), look.spacer_details)
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _classified(spark: SparkSession, sf_dir: str, stage: Stage = lazily) -> DataFrame:
     """Classified hits of both kinds of database, before the gap filter."""
     hits, look = fixtures.search_hits(spark, sf_dir), fixtures.lookups(spark, sf_dir)
-    classify = {
-        "genbank": lambda m: classify_genbank(m, look.nucleoid_genbank),
-        "imgvr": lambda m: classify_imgvr(m, look.nucleoid_imgvr),
-    }
-    return stack([classify[k](match_table(hits.filter(is_kind(k)), look, k)) for k in KINDS])
+    return classify(stage(all_matches(hits, look), "target_matches"), look)
+
+
+def _selected(spark: SparkSession, sf_dir: str, upto: str) -> DataFrame:
+    stage = SharedStage(spark)
+    return select_hits(ungapped(_classified(spark, sf_dir, stage)), upto=upto, stage=stage)
 
 
 def parse_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,30 +113,33 @@ def ungapped_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_score_per_spacer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_hits(ungapped(_classified(spark, sf_dir)), upto="score")
+    return _selected(spark, sf_dir, "score")
 
 
 def top_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_hits(ungapped(_classified(spark, sf_dir)), upto="completeness")
+    return _selected(spark, sf_dir, "completeness")
 
 
 def host_target_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_hits(ungapped(_classified(spark, sf_dir)), upto="support")
+    return _selected(spark, sf_dir, "support")
 
 
 def collapse_targets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One result table from raw hits of the metagenome databases, all rules applied."""
     hits, look = fixtures.search_hits(spark, sf_dir), fixtures.lookups(spark, sf_dir)
-    return process_matches(match_table(hits.filter(is_kind("imgvr")), look, "imgvr"), look, "imgvr")
+    stage = SharedStage(spark)
+    matches = stage(match_table(hits.filter(is_kind("imgvr")), look, "imgvr"), "target_matches")
+    classified = ungapped(classify_imgvr(matches, look.nucleoid_imgvr))
+    return collapse_targets(stage(select_hits(classified, stage=stage), "selected"))
 
 
 def union_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_all(fixtures.search_hits(spark, sf_dir), fixtures.lookups(spark, sf_dir))
+    return process_all(fixtures.search_hits(spark, sf_dir), fixtures.lookups(spark, sf_dir), stage=SharedStage(spark))
 
 
 def union_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each system selected on its own, then stacked."""
-    selected = select_hits(ungapped(_classified(spark, sf_dir)))
+    """Selected hits of each system as a table of its own, stacked."""
+    selected = SharedStage(spark)(_selected(spark, sf_dir, "support"), "selected")
     return stack([selected.filter(F.col("system") == s) for s in ("TypeIII", "TypeIE", "TypeIF")])
 
 
