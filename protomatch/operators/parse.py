@@ -11,9 +11,14 @@ REAL_RUN = "non-shuffled"
 ACCESSION_LENGTH = 15
 
 
-def piece(value: Column, separator: str, index: int) -> Column:
-    """Piece of a split text; a missing piece is NULL, surplus pieces are dropped."""
-    return F.get(F.split(value, separator), F.lit(index))
+def before(value: Column, separator: str) -> Column:
+    """First piece of a text split at every ``separator``."""
+    return F.substring_index(value, separator, 1)
+
+
+def after(value: Column, separator: str) -> Column:
+    """Second piece; NULL when there is none. Surplus pieces are dropped."""
+    return F.when(value.contains(separator), F.substring_index(F.substring_index(value, separator, 2), separator, -1))
 
 
 def coerce_numbers(hits: DataFrame) -> DataFrame:
@@ -24,29 +29,32 @@ def coerce_numbers(hits: DataFrame) -> DataFrame:
 def split_target_id(value: Column, split_on: str = "first") -> tuple[Column, Column]:
     """(target, control tag). ``split_on="last"`` keeps hyphens inside the target id."""
     if split_on == "first":
-        return piece(value, "-", 0), piece(value, "-", 1)
+        return before(value, "-"), after(value, "-")
     if split_on == "last":
-        head, tail = F.regexp_extract(value, "^(.*)-([^-]*)$", 1), F.regexp_extract(value, "^(.*)-([^-]*)$", 2)
-        has_tag = value.contains("-")
-        return F.when(has_tag, head).otherwise(value), F.when(has_tag, tail)
+        tail = F.when(value.contains("-"), F.substring_index(value, "-", -1))
+        head = F.substr(value, F.lit(1), F.length(value) - F.length(tail) - 1)
+        return F.coalesce(head, value), tail
     raise ValueError(f"split_on must be 'first' or 'last', not {split_on!r}")
 
 
 def parse_ids(hits: DataFrame, split_on: str = "first") -> DataFrame:
     """Host, array, spacer and duplicate tag from ``spacer_id``; control tag from ``target_id``."""
-    array = piece(F.col("spacer_id"), "-Cr", 1)
-    spacer = piece(array, "-Sp", 1)
     target, tag = split_target_id(F.col("target_id"), split_on)
-    parsed = {
-        "gcf": piece(F.col("spacer_id"), "-Cr", 0),
-        "crispr": piece(array, "-Sp", 0),
-        "spacer": piece(spacer, "-dup-", 0),
-        "shared_spacer": piece(spacer, "-dup-", 1),
-        "target_id": target,
-        "shuffled": F.coalesce(tag, F.lit(REAL_RUN)),
-    }
     rest = [c for c in hits.columns if c not in ("spacer_id", "target_id")]
-    return hits.select(*[v.alias(k) for k, v in parsed.items()], *rest)
+    array, spacer = F.col("__array"), F.col("__spacer")
+    return (
+        hits.withColumn("__array", after(F.col("spacer_id"), "-Cr"))
+        .withColumn("__spacer", after(array, "-Sp"))
+        .select(
+            before(F.col("spacer_id"), "-Cr").alias("gcf"),
+            before(array, "-Sp").alias("crispr"),
+            before(spacer, "-dup-").alias("spacer"),
+            after(spacer, "-dup-").alias("shared_spacer"),
+            target.alias("target_id"),
+            F.coalesce(tag, F.lit(REAL_RUN)).alias("shuffled"),
+            *rest,
+        )
+    )
 
 
 def assembly_key(value: Column) -> Column:
@@ -55,4 +63,4 @@ def assembly_key(value: Column) -> Column:
 
 def strip_version(value: Column) -> Column:
     """Everything before the first dot."""
-    return F.regexp_replace(value, r"\..*", "")
+    return F.substring_index(value, ".", 1)

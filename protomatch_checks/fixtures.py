@@ -66,17 +66,18 @@ from {{lineitem}}
 
 # Array and spacer facts of each host; those seen only at quantity 11 are missing.
 SPACER_DETAILS = f"""
-select distinct 'GCF_'||{_padded(_HOST)}||'.1' as gcf, {_text('l_linenumber%4')} as crispr,
-  substr(translate(md5('spacer'||{_text(_SPACER)}),{_HEX_TO_BASES}),1,cast(28+{_SPACER}%5 as int)) as spacer_seq,
-  {_text(_SPACER)} as spacer,
-  'sp'||{_text(_SPACER)}||'h'||{_text(_HOST)} as spacer_id,
-  cast({_HOST}%10 as double) as crispr_score,
-  'CRISPR-'||{_text('l_linenumber%4')} as crispr_type,
-  substr(translate(md5('repeat'||{_text('l_linenumber%4')}),{_HEX_TO_BASES}),1,24) as repeat_seq,
+select 'GCF_'||{_padded('host')}||'.1' as gcf, {_text('crispr')} as crispr,
+  substr(translate(md5('spacer'||{_text('spacer')}),{_HEX_TO_BASES}),1,cast(28+spacer%5 as int)) as spacer_seq,
+  {_text('spacer')} as spacer,
+  'sp'||{_text('spacer')}||'h'||{_text('host')} as spacer_id,
+  cast(host%10 as double) as crispr_score,
+  'CRISPR-'||{_text('crispr')} as crispr_type,
+  substr(translate(md5('repeat'||{_text('crispr')}),{_HEX_TO_BASES}),1,24) as repeat_seq,
   cast(24 as bigint) as repeat_length,
-  'h'||{_text(_HOST)} as id,
-  {_SYSTEM} as system
-from {{lineitem}} where l_quantity<>11
+  'h'||{_text('host')} as id,
+  {_SYSTEM.replace(_SPACER, 'spacer')} as system
+from (select distinct {_HOST} as host, l_linenumber%4 as crispr, {_SPACER} as spacer
+      from {{lineitem}} where l_quantity<>11) spacers
 """
 
 _SUPPLIER_HOST = _whole("s_suppkey/4")
