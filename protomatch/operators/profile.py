@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NUCLEOID_FORMING = "NF"
 # Most model nodes handed to tasks at once; more profiles are screened in several passes.
-NODES_PER_PASS = 50_000
+NODES_PER_PASS = 5_000
 # Residues scored at once within a task.
 _RESIDUES_PER_STEP = 1_000_000
 _BREAK = -(1 << 40)

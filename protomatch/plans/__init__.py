@@ -7,6 +7,7 @@ from protomatch.plans.workflow import (
     process_matches,
     run_workflow,
     score_tables,
+    search_with_control,
     stack,
 )
 
@@ -19,5 +20,6 @@ __all__ = [
     "process_matches",
     "run_workflow",
     "score_tables",
+    "search_with_control",
     "stack",
 ]

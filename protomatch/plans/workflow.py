@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protomatch.operators.collapse import collapse_targets
+from protomatch.operators.control import SHUFFLED_TAG, shuffle_sequences
 from protomatch.operators.dedupe import dedupe_spacers
 from protomatch.operators.enrich import (
     MATCH_COLUMN_ORDER,
@@ -23,8 +24,9 @@ from protomatch.operators.enrich import (
     ungapped,
     without_ambiguous_runs,
 )
-from protomatch.operators.parse import coerce_numbers, parse_ids
+from protomatch.operators.parse import REAL_RUN, coerce_numbers, parse_ids
 from protomatch.operators.report import HEADINGS, annotate_taxonomy, score_table
+from protomatch.operators.search import SearchSettings, query_extent, search
 from protomatch.operators.select import select_hits
 from protomatch.sources import sinks
 from protomatch.sources.staging import SharedStage, Stage, lazily
@@ -45,6 +47,14 @@ class Lookups:
     nucleoid_imgvr: DataFrame
 
 
+def search_with_control(queries: DataFrame, targets: DataFrame, settings: SearchSettings = SearchSettings(),
+                        seed: int = 42) -> DataFrame:
+    """Search the targets and their shuffled control alike; ``run`` tells which a hit is from."""
+    extent = query_extent(queries, settings)
+    runs = {REAL_RUN: targets, SHUFFLED_TAG: shuffle_sequences(targets, "target_id", seed)}
+    return stack([search(queries, t, settings, extent).withColumn("run", F.lit(run)) for run, t in runs.items()])
+
+
 def is_kind(target_kind: str) -> Column:
     """Hits searched against databases of this kind, by the database label."""
     imgvr = F.col("target_database").startswith("IMGVR")

@@ -3,6 +3,7 @@ from protomatch.sources.readers import (
     pairs_to_lines,
     read_fasta,
     read_hits,
+    read_hits_tables,
     read_imgvr_metadata,
     read_nucleoid_table,
     read_phage_lengths,
@@ -27,6 +28,7 @@ __all__ = [
     "pairs_to_lines",
     "read_fasta",
     "read_hits",
+    "read_hits_tables",
     "read_imgvr_metadata",
     "read_nucleoid_table",
     "read_phage_lengths",

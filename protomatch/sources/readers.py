@@ -80,6 +80,13 @@ def read_nucleoid_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_hits_tables(spark: SparkSession, *paths: str) -> DataFrame:
+    """Stored hit tables, one per system or already stacked, by column name."""
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in paths]
+    )
+
+
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return _read_tsv(spark, path, schemas.TAXONOMY)
 

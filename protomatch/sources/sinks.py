@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 _RUN_PARTITIONS = ("system", "target_database", "run")
 
 
+def _write_partitioned(table: DataFrame, path: str, mode: str, *partitions: str) -> None:
+    """One directory per partition value, best scores first within each file.
+
+    Rebalancing gathers each directory's rows into few files and splits those
+    of a large one over several tasks.
+    """
+    (
+        table.hint("rebalance", *partitions)
+        .sortWithinPartitions(*partitions, F.col("score").desc_nulls_last())
+        .write.mode(mode).partitionBy(*partitions).parquet(path)
+    )
+
+
 def write_match_table(matches: DataFrame, path: str, mode: str = "error") -> None:
     """Scored matches before classification; rows with gaps are still in."""
-    matches.write.mode(mode).partitionBy(*_RUN_PARTITIONS).parquet(path)
+    _write_partitioned(matches, path, mode, *_RUN_PARTITIONS)
 
 
 def write_processed(hits: DataFrame, path: str, mode: str = "error") -> None:
     """Processed hits, one directory per search result they came from."""
-    hits.write.mode(mode).partitionBy(*_RUN_PARTITIONS).parquet(path)
+    _write_partitioned(hits, path, mode, *_RUN_PARTITIONS)
 
 
 def write_hits_table(hits: DataFrame, path: str, mode: str = "error") -> None:
     """Processed hits of all databases, one directory per system."""
-    hits.write.mode(mode).partitionBy("system").parquet(path)
+    _write_partitioned(hits, path, mode, "system")
 
 
 def write_annotated_hits(hits: DataFrame, path: str, mode: str = "error") -> None:

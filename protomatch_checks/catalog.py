@@ -174,7 +174,7 @@ def taxonomy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = ungapped(_classified(spark, sf_dir)).select("gcf", "target_gca", "target_id", "score", "nucleoid_forming")
-    return report.top_hits(table)
+    return SharedStage(spark)(report.top_hits(table), "top_hits")
 
 
 def host_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

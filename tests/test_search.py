@@ -9,6 +9,7 @@ import pytest
 from helpers import executed_plan, rows_of, settings
 from protomatch.operators.control import length_class, shuffle_sequences
 from protomatch.operators.search import SearchSettings, search
+from protomatch.plans import search_with_control
 
 COLUMNS = ["spacer_id", "target_id", "strand", "position", "details", "mismatches", "gaps", "alignment_seq",
            "alignment_length"]
@@ -113,3 +114,13 @@ def test_length_classes_split_at_the_cut(spark):
     df = spark.createDataFrame([(149_999,), (150_000,), (None,)], "target_length bigint")
     assert rows_of(length_class(df), "target_length", "size_class") == [
         (149_999, "<150kb"), (150_000, ">150kb"), (None, None)]
+
+
+def test_the_control_is_searched_like_the_targets(spark):
+    queries, targets = random_case(random.Random(9), [24, 24])
+    q = spark.createDataFrame(queries, "spacer_id string, seq string")
+    t = spark.createDataFrame(targets, "target_id string, seq string")
+    found = search_with_control(q, t)
+    assert rows_of(found.filter("run = 'non-shuffled'"), *COLUMNS) == rows_of(search(q, t), *COLUMNS)
+    control = search(q, shuffle_sequences(t, "target_id"))
+    assert rows_of(found.filter("run = 'shuffled'"), *COLUMNS) == rows_of(control, *COLUMNS)
