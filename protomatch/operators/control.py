@@ -13,9 +13,11 @@ def shuffle_sequences(sequences: DataFrame, id_column: str, seed: int = 42, key:
     """Permute the letters of each sequence; same composition, same result on every run.
 
     Letters are sorted by a hash of (seed, id, place), ties by place, within the
-    row, so nothing is shuffled between tasks. ``key="md5"`` is slower but can
-    be recomputed outside Spark.
+    row. Rows are spread by hash first: hashing and sorting every letter costs
+    far more than moving the sequence, and sequences come in few large files.
+    ``key="md5"`` is slower but can be recomputed outside Spark.
     """
+    partitions = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     def hashed(place: Column) -> Column:
         if key == "md5":
             return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_column).cast("string"), place.cast("string")))
@@ -29,7 +31,8 @@ def shuffle_sequences(sequences: DataFrame, id_column: str, seed: int = 42, key:
     )
     permuted = F.array_join(F.transform(F.sort_array(keyed), lambda s: F.right(s, F.lit(1))), "")
     # The hash needs the original id, so the id gets its tag in a step of its own.
-    return sequences.withColumn("seq", F.when(F.length("seq") > 0, permuted).otherwise(F.col("seq"))).withColumn(
+    spread = sequences.repartition(partitions, id_column)
+    return spread.withColumn("seq", F.when(F.length("seq") > 0, permuted).otherwise(F.col("seq"))).withColumn(
         id_column, F.concat(F.col(id_column).cast("string"), F.lit(f"-{SHUFFLED_TAG}"))
     )
 
