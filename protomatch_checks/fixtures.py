@@ -149,7 +149,7 @@ BASES_OF_TEXT = "translate(regexp_replace(text,'[^A-Za-z]',''{g}),'" + _LETTERS
 PROFILE_NODES = 30
 PROFILES = ("shell", "tubulin")
 EMISSION = "(ascii(substr(md5(profile||cast(node as string)||residue),1,1))%16)*20000-150000"
-THRESHOLDS = {"shell": 900_000, "tubulin": 900_000}
+THRESHOLDS = {"shell": 120_000, "tubulin": 120_000}
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from protomatch_checks import fixtures
 from protomatch_checks.fixtures import duck
 
@@ -129,11 +131,6 @@ where n = 1"""
 _STEPS["top"] = """
 select gcf, target_gca, target_id, score, nucleoid_forming from flat where score >= 26 and nucleoid_forming <> 'nonNF'"""
 _STEPS["top_stats"] = """
-select *, count(*) over (partition by gcf, target_gca) as host_cluster_hits, targets_in_relationship
-from top join (select gcf, target_gca, count(distinct coalesce(target_id, 'missing')) as targets_in_relationship
-               from top group by gcf, target_gca) s
-  on top.gcf is not distinct from s.gcf and top.target_gca is not distinct from s.target_gca"""
-_STEPS["top_stats"] = """
 select t.*, s.host_cluster_hits, s.targets_in_relationship
 from top t join (select gcf, target_gca, count(*) as host_cluster_hits,
                    count(distinct coalesce(target_id,'missing')) as targets_in_relationship
@@ -154,8 +151,6 @@ _ORDER = [*_FIXTURES, *_STEPS]
 
 
 def _mentions(sql: str, name: str) -> bool:
-    import re
-
     return re.search(rf"\b{name}\b", sql) is not None
 
 
