@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from protomatch.llm.imatch import fingerprint_documents
 from protomatch.llm.licenses import license_digest, scan_licenses
 from protomatch.llm.mixing import mix_sources, tempered_shares
+from protomatch.llm.quality_cnn import fit_on, score_documents
+from protomatch.llm.sharding import first_map, place_records, read_map, slot_sizes, write_map
+from protomatch.llm.staging import shared_folder
+
+SHARDS = 24
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +27,44 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_slot", "mix_block", "mix_copy")
 
 
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    sizes = slot_sizes(docs)
+    path = f"{shared_folder(spark)}/slot-map"
+    write_map(spark, first_map(sizes, SHARDS), sizes, path)
+    placed = place_records(docs, read_map(spark, path))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+    )
+
+
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_documents(spark, sf_dir))
+
+
+def _remainder(n: int) -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_documents(spark, sf_dir)))
 
 
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(3) != 1)
+    net = fit_on(docs, labels)
+    scored = score_documents(docs, net).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_virtual_slots": op2_virtual_slots,
+    "op4_imatch": op4_imatch,
     "op7_license_scan": op7_license_scan,
+    "op10_quality_cnn": op10_quality_cnn,
 }
