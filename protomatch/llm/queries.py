@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protomatch.llm.imatch import fingerprint_documents
+from protomatch.llm.langid import fit_on as fit_languages
+from protomatch.llm.langid import identify
 from protomatch.llm.licenses import license_digest, scan_licenses
 from protomatch.llm.mixing import mix_sources, tempered_shares
-from protomatch.llm.quality_cnn import fit_on, score_documents
+from protomatch.llm.quality_cnn import fit_on as fit_quality
+from protomatch.llm.quality_cnn import score_documents
 from protomatch.llm.sharding import first_map, place_records, read_map, slot_sizes, write_map
 from protomatch.llm.staging import shared_folder
 
@@ -47,6 +50,13 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_languages(docs.where(_remainder(4) != 2))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_documents(spark, sf_dir)))
 
@@ -54,7 +64,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(3) != 1)
-    net = fit_on(docs, labels)
+    net = fit_quality(docs, labels)
     scored = score_documents(docs, net).withColumnRenamed("id", "doc_id")
     return scored.select(
         "doc_id", (_remainder(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
@@ -65,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
     "op4_imatch": op4_imatch,
+    "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op10_quality_cnn": op10_quality_cnn,
 }
