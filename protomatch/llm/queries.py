@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protomatch.llm.decontam import find_leaks
 from protomatch.llm.imatch import fingerprint_documents
 from protomatch.llm.langid import fit_on as fit_languages
 from protomatch.llm.langid import identify
@@ -61,6 +62,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_documents(spark, sf_dir)))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("row.doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"), "score", "coverage")
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(3) != 1)
@@ -77,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_imatch": op4_imatch,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
 }
