@@ -17,6 +17,7 @@ from protomatch.llm.quality_cnn import fit_on as fit_quality
 from protomatch.llm.quality_cnn import score_documents
 from protomatch.llm.sharding import first_map, place_records, read_map, slot_sizes, write_map
 from protomatch.llm.staging import shared_folder
+from protomatch.llm.token_output import training_shards
 
 SHARDS = 24
 
@@ -62,6 +63,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_documents(spark, sf_dir)))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_shards(_documents(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("row.doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"), "score", "coverage")
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_imatch": op4_imatch,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
+    "op8_training_order": op8_training_order,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
 }
