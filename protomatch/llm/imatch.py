@@ -85,41 +85,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str, band: dict[str, int]) -> str:
-    """Scales separated by ``|``; in each, per subset that picks a term: hash number, bucket, digest."""
+def subset_hashes(text: str, band: dict[str, int]) -> dict[str, np.ndarray]:
+    """Per scale, for each subset that picks a term: its number in the top byte, the hash of its sorted distinct terms below."""
     found = terms_of(text)
-    codes = [band[t] for t in found if t in band]
+    codes = [c for c in map(band.get, found) if c is not None]
     mark = ""
     if not codes:
         mark, codes = "t", [xxhash.xxh64_intdigest(t) for t in found]
     if not codes:
-        return "w" + hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
+        return {"w" + hashlib.blake2b(text.encode(), digest_size=12).hexdigest(): np.zeros(0, np.uint32)}
     terms = np.sort(np.array(codes, np.uint64))
-    first_scale, scales = (len(terms).bit_length() - 1) // 2 + 1, []
+    first_scale, out = (len(terms).bit_length() - 1) // 2 + 1, {}
     keys = _mixed(terms[None, :] ^ SEEDS[:, None])
     for scale in (first_scale, first_scale + 1):
         buckets = keys >> np.uint64(64 - 2 * scale)
-        entries = []
-        for h in range(HASHES):
-            inside = buckets[h] < KEPT_BUCKETS
-            picked, owner = terms[inside], buckets[h][inside]
-            for b in np.unique(owner):
-                digest = hashlib.blake2b(picked[owner == b].tobytes(), digest_size=3).hexdigest()
-                entries.append(f"{h}{int(b):02x}{digest}")
-        scales.append(f"{mark}{scale}:" + "".join(entries))
-    return "|".join(scales)
-
-
-def likeness(a: str, b: str) -> float:
+        row, term = np.nonzero(buckets < KEPT_BUCKETS)
+        subset = row.astype(np.uint64) * np.uint64(KEPT_BUCKETS) + buckets[row, term]
+        order = np.argsort(subset, kind="stable")
+        subset, term = subset[order], term[order]
+        starts = np.flatnonzero(np.r_[True, subset[1:] != subset[:-1]]) if len(subset) else np.zeros(0, np.int64)
+        # Terms are sorted and distinct inside a subset, so a sum of mixed codes is a digest of the list.
+        sums = np.add.reduceat(_mixed(terms[term]), starts) if len(starts) else np.zeros(0, np.uint64)
+        out[f"{mark}{scale}"] = ((subset[starts] << np.uint64(24)) | (_mixed(sums) >> np.uint64(40))).astype(np.uint32)
+    return out
+
+
+def encoded(hashes: dict[str, np.ndarray]) -> str:
+    """Scales separated by ``|``; in each, eight hexadecimal digits per filled subset."""
+    return "|".join(f"{scale}:{h.astype('>u4').tobytes().hex()}" for scale, h in hashes.items())
+
+
+def decoded(fingerprint: str) -> dict[str, np.ndarray]:
+    parts = (x.partition(":") for x in fingerprint.split("|"))
+    return {scale: np.frombuffer(bytes.fromhex(h), ">u4").astype(np.uint32) for scale, _, h in parts}
+
+
+def fingerprint(text: str, band: dict[str, int]) -> str:
+    return encoded(subset_hashes(text, band))
+
+
+def likeness(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> float:
     """Share of equal hashes among the subsets that either text fills, 0 to 1."""
-    if a == b:
+    if a.keys() == b.keys() and all(np.array_equal(a[s], b[s]) for s in a):
         return 1.0
-    entries = [{s: {e[k:k + 3]: e[k + 3:k + 9] for k in range(0, len(e), 9)} for s, _, e in (x.partition(":") for x in f.split("|"))} for f in (a, b)]
     equal = filled = 0
-    for scale in entries[0].keys() & entries[1].keys():
-        x, y = entries[0][scale], entries[1][scale]
-        filled += len(x.keys() | y.keys())
-        equal += sum(y.get(k) == v for k, v in x.items())
+    for scale in a.keys() & b.keys():
+        x, y = set(a[scale].tolist()), set(b[scale].tolist())
+        same, subsets = len(x & y), len({k >> 24 for k in x} | {k >> 24 for k in y})
+        equal, filled = equal + same, filled + subsets
     return equal / filled if filled else 0.0
 
 
@@ -176,13 +189,13 @@ def fingerprint_documents(docs: DataFrame, terms: list[str] | None = None, *, id
             out = []
             for place, text, group, guest in zip(batch["place"], batch["text"], batch["range_"], batch["guest"], strict=True):
                 doc_id = None if place == NO_ID else place
-                own = fingerprint(text, band)
+                own = subset_hashes(text, band)
                 if before is not None and before[3] == group and not before[4]:
                     old_id, old, old_print = before[:3]
                     changed = edited(old, text)
-                    changed_print = fingerprint(changed, band)
+                    changed_print = subset_hashes(changed, band)
                     out.append((
-                        old_id, len(old), hashlib.sha256(changed.encode()).hexdigest(), old_print, changed_print,
+                        old_id, len(old), hashlib.sha256(changed.encode()).hexdigest(), encoded(old_print), encoded(changed_print),
                         likeness(old_print, changed_print), likeness(old_print, own),
                     ))
                 before = (doc_id, text, own, group, guest)
