@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protomatch.llm.chosen_path import similar_documents
 from protomatch.llm.decontam import find_leaks
 from protomatch.llm.imatch import fingerprint_documents
 from protomatch.llm.langid import fit_on as fit_languages
@@ -48,6 +49,11 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_documents(_documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def _remainder(n: int) -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
     "op4_imatch": op4_imatch,
+    "op5_chosen_path": op5_chosen_path,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_training_order": op8_training_order,
