@@ -297,14 +297,15 @@ def connected(edges: DataFrame, folder: str) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, *, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id``, ``h`` (64-bit digest of the text), ``class_id`` (smallest id of all linked documents) and ``n_links``.
+    """One row per document: ``id``, ``h`` (64-bit digest of the text), ``class_id``, ``class_h`` and ``n_links``.
 
+    A class is all documents linked in any number of steps, named by the smallest id in it and the digest of that text.
     ``n_links`` counts the other documents whose similarity to this one reaches the threshold, copies included.
     """
     folder = shared_folder(docs.sparkSession)
     signed = written(signed_documents(docs, id_col=id_col, text_col=text_col), folder, "signed")
     classes = written(signed.groupBy("node").agg(
-        F.min(F.struct("id", "h")).alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("sig").alias("sig"),
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("rep"), F.count("*").alias("copies"), F.max("sig").alias("sig"),
     ), folder, "classes")
     leaf = written(leaves(classes, folder, recall), folder, "leaves")
     paths = leaf.groupBy("node").agg(F.collect_list("path").alias("paths"))
@@ -320,8 +321,8 @@ def similar_documents(docs: DataFrame, *, recall: float = RECALL, id_col: str =
     judged = written(_in_groups(held, _judged, "node long, root long, links long"), folder, "judged")
     labels = connected(judged, folder)
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
-    per_class = classes.select("node", "least", "copies").join(labels, "node", "left").join(links, "node", "left")
+    per_class = classes.select("node", "rep", "copies").join(labels, "node", "left").join(links, "node", "left")
     per_class = per_class.withColumn("label", F.coalesce("label", "node"))
-    ids = per_class.groupBy("label").agg(F.min("least").alias("class_id"))
-    per_class = per_class.join(ids, "label").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("id", "h", "node").join(per_class, "node").select("id", "h", "class_id", "n_links")
+    ids = per_class.groupBy("label").agg(F.min("rep").alias("first"))
+    per_class = per_class.join(ids, "label").select("node", F.col("first.id").alias("class_id"), F.col("first.h").alias("class_h"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("id", "h", "node").join(per_class, "node").select("id", "h", "class_id", "class_h", "n_links")
