@@ -18,6 +18,7 @@ from protomatch.llm.quality_cnn import fit_on as fit_quality
 from protomatch.llm.quality_cnn import score_documents
 from protomatch.llm.sharding import first_map, place_records, read_map, slot_sizes, write_map
 from protomatch.llm.staging import shared_folder
+from protomatch.llm.suffix import remove_repeats
 from protomatch.llm.token_output import training_shards
 
 SHARDS = 24
@@ -45,6 +46,15 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(_documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
+    return done.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_documents(spark, sf_dir))
 
@@ -91,6 +101,7 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_imatch": op4_imatch,
     "op5_chosen_path": op5_chosen_path,
     "op6_language_id": op6_language_id,
