@@ -33,13 +33,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
     found = written(found, shared_folder(spark), "groups")
     first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))
-    keyed = docs.withColumn("text_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("id"))) & (F.col("text_digest") == F.col("h"))
-    kept = keyed.join(found.where(~first | (F.col("times") > 1)).drop("class_id"), same, "left_anti")
+    # All columns in one struct: no name of theirs can meet one of the groups'.
+    rows = docs.select(F.struct("*").alias("row"))
+    digest = F.xxhash64(F.coalesce("row.text", F.lit("")))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (digest == F.col("h"))
+    kept = rows.join(found.where(~first | (F.col("times") > 1)), same, "left_anti")
     again = found.where(first & (F.col("times") > 1))
     if not again.isEmpty():
-        kept = kept.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_digest"]))
-    return kept.drop("text_digest")
+        once = rows.join(again, same, "left_semi").withColumns({"id": F.col("row.doc_id"), "digest": digest}).dropDuplicates(["id", "digest"])
+        kept = kept.unionByName(once.select("row"))
+    return kept.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
