@@ -33,12 +33,13 @@ def _keys(left: DataFrame, right: DataFrame, *keys: str) -> list[str]:
     return [*keys, "system"] if "system" in left.columns and "system" in right.columns else list(keys)
 
 
-def add_spacer_details(hits: DataFrame, details: DataFrame, match_nulls: bool = False) -> DataFrame:
+def add_spacer_details(hits: DataFrame, details: DataFrame, match_nulls: bool = False,
+                       mismatch_weight: int = MISMATCH_WEIGHT, gap_weight: int = GAP_WEIGHT) -> DataFrame:
     """Spacer sequence and array details by (host, array, spacer), then length and score."""
     joined = left_lookup(hits, details, _keys(hits, details, "gcf", "crispr", "spacer"), match_nulls)
     return joined.withColumns({"spacer_length": F.length("spacer_seq"), "notes": F.lit("")}).withColumn(
         "score",
-        (F.col("spacer_length") - MISMATCH_WEIGHT * F.col("mismatches") - F.col("gaps") * GAP_WEIGHT).cast("double"),
+        (F.col("spacer_length") - mismatch_weight * F.col("mismatches") - F.col("gaps") * gap_weight).cast("double"),
     )
 
 

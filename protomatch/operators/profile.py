@@ -38,27 +38,49 @@ def _passes(emissions: DataFrame, nodes_per_pass: int) -> list[list[str]]:
     return groups
 
 
-def _score_tables(emissions: DataFrame, names: list[str]) -> dict[str, np.ndarray]:
-    """Per profile an array of node by character code. Residues the model lacks score 0."""
+def _upper(text: str) -> str:
+    """Capitals, but for characters whose capital is more than one."""
+    upper = text.upper()
+    return upper if len(upper) == len(text) else "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
+
+
+def _score_tables(emissions: DataFrame, names: list[str]) -> dict[str, tuple[dict[str, int], np.ndarray]]:
+    """Per profile the column of each residue and an array of node by column.
+
+    Column 0 breaks runs between sequences, column 1 is for residues the model
+    lacks, which score 0. Residues are upper-cased.
+    """
     rows = emissions.filter(F.col("profile").isin(names)).select("profile", "node", "residue", "score").toPandas()
     tables = {}
     for name, part in rows.groupby("profile"):
-        table = np.zeros((int(part["node"].max()), 256), dtype=np.int64)
-        table[part["node"].to_numpy() - 1, part["residue"].map(ord).to_numpy()] = part["score"].to_numpy()
+        residues = part["residue"].map(_upper)
+        columns = {r: k + 2 for k, r in enumerate(sorted(residues.unique()))}
+        table = np.zeros((int(part["node"].max()), len(columns) + 2), dtype=np.int64)
+        table[part["node"].to_numpy() - 1, residues.map(columns).to_numpy()] = part["score"].to_numpy()
         table[:, 0] = _BREAK
-        tables[name] = table
+        tables[name] = columns, table
     return tables
 
 
-def best_segments(sequences: list[str], table: np.ndarray) -> np.ndarray:
+def _code_points(sequences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all sequences laid end to end, a zero after each, and where each starts."""
+    text = "\0".join(sequences) + "\0"
+    starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in sequences])[:-1]))
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), starts
+
+
+def best_segments(sequences: list[str], model: tuple[dict[str, int], np.ndarray]) -> np.ndarray:
     """Greatest sum over runs of consecutive nodes against consecutive residues, at least 0.
 
-    The sequences are laid end to end with a breaking code between them; each
+    The sequences are laid end to end with a breaking column between them; each
     node then extends all runs by one residue in one vector step.
     """
-    text = "\0".join(sequences) + "\0"
-    codes = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in sequences])[:-1]))
+    columns, table = model
+    points, starts = _code_points([_upper(s) for s in sequences])
+    column_of = np.ones(max(int(points.max()), max(map(ord, columns))) + 1, dtype=np.intp)
+    column_of[0] = 0
+    column_of[[ord(r) for r in columns]] = list(columns.values())
+    codes = column_of[points]
     run = np.zeros(len(codes), dtype=np.int64)
     best = np.zeros(len(codes), dtype=np.int64)
     for node in table:
@@ -81,28 +103,35 @@ def _steps(sequences: list[str]) -> Iterator[slice]:
         yield slice(start, len(sequences))
 
 
-def screen_profiles(proteins: DataFrame, emissions: DataFrame, nodes_per_pass: int = NODES_PER_PASS) -> DataFrame:
+def screen_profiles(proteins: DataFrame, emissions: DataFrame, nodes_per_pass: int = NODES_PER_PASS,
+                    min_score: int | None = None) -> DataFrame:
     """Best ungapped local score of each protein (protein_id, seq) against each profile.
 
     ``emissions`` holds (profile, node, residue, score) with whole-number
     scores. This is a screening score, not an E-value. Proteins stay where they
-    are read; models travel to them in passes of bounded size.
+    are read; models travel to them in passes of bounded size. ``genome_id`` is
+    carried along if proteins have it; ``min_score`` reports only scores that
+    reach it.
     """
-    schema = "protein_id string, profile string, score bigint"
+    carried = [f for f in proteins.schema if f.name == "genome_id"]
+    schema = ", ".join(["protein_id string", *[f"genome_id {f.dataType.simpleString()}" for f in carried],
+                        "profile string", "score bigint"])
+    kept = [F.col("protein_id").cast("string"), *[F.col(f.name) for f in carried], "seq"]
+    names_kept = ["protein_id", *[f.name for f in carried]]
     screens = []
     for names in _passes(emissions, nodes_per_pass):
         tables = _score_tables(emissions, names)
 
         def screen(batches: Iterator[pd.DataFrame], tables=tables) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                ids, seqs = batch["protein_id"].to_numpy(), batch["seq"].fillna("").tolist()
+                seqs = batch["seq"].fillna("").tolist()
                 for step in _steps(seqs):
-                    for name, table in tables.items():
-                        yield pd.DataFrame({
-                            "protein_id": ids[step], "profile": name, "score": best_segments(seqs[step], table),
-                        })
+                    rows = batch.iloc[step][names_kept]
+                    for name, model in tables.items():
+                        found = rows.assign(profile=name, score=best_segments(seqs[step], model))
+                        yield found if min_score is None else found[found["score"] >= min_score]
 
-        screens.append(proteins.select(F.col("protein_id").cast("string"), "seq").mapInPandas(screen, schema))
+        screens.append(proteins.select(*kept).mapInPandas(screen, schema))
     if not screens:
         return proteins.sparkSession.createDataFrame([], schema)
     united = screens[0]
@@ -111,9 +140,15 @@ def screen_profiles(proteins: DataFrame, emissions: DataFrame, nodes_per_pass: i
     return united
 
 
-def best_hits(screened: DataFrame, genome_of: DataFrame) -> DataFrame:
-    """Best protein per genome and profile; equal scores give the first protein id."""
-    named = screened.join(genome_of.select("protein_id", "genome_id"), "protein_id")
+def best_hits(screened: DataFrame, genome_of: DataFrame | None = None) -> DataFrame:
+    """Best protein per genome and profile; equal scores give the first protein id.
+
+    Rows are combined in their tasks before the shuffle. ``genome_of`` is only
+    needed for a screen that did not carry the genome.
+    """
+    named = screened
+    if "genome_id" not in screened.columns:
+        named = screened.join(genome_of.select("protein_id", "genome_id").distinct(), "protein_id")
     best = F.min(F.struct((-F.col("score")).alias("rank"), F.col("protein_id")))
     return (
         named.groupBy("genome_id", "profile").agg(best.alias("best"))

@@ -45,11 +45,16 @@ def score_table(hits: DataFrame, size: str | None = None, nucleoid_only: bool =
                 headings: Sequence[str] | None = None) -> DataFrame:
     """Score frequencies with one column per system and run tag; absent cells are NULL.
 
-    Naming ``headings`` fixes the columns and saves the job that looks for them;
-    they have to cover all the data has.
+    The columns come from the data unless ``headings`` names them, which fixes
+    their order and saves a job; a heading that is in the data and not among
+    them is an error when the table is computed.
     """
     counts = score_counts(hits, size, nucleoid_only, cutoff, floor)
-    named = counts.withColumn("heading", F.concat_ws("_", "system", "shuffled"))
+    heading = F.concat_ws("_", "system", "shuffled")
+    if headings:
+        missing = F.raise_error(F.concat(F.lit("no column of the score table for heading "), heading))
+        heading = F.when(heading.isin(list(headings)), heading).otherwise(missing)
+    named = counts.withColumn("heading", heading)
     grouped = named.groupBy("score")
     pivot = grouped.pivot("heading", list(headings)) if headings else grouped.pivot("heading")
     return pivot.agg(F.sum("score_freq")).orderBy(F.col("score").asc_nulls_last())

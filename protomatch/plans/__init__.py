@@ -1,6 +1,8 @@
 from protomatch.plans.workflow import (
+    AnalysisSettings,
     Lookups,
     all_matches,
+    classified_matches,
     classify,
     match_table,
     process_all,
@@ -9,11 +11,14 @@ from protomatch.plans.workflow import (
     score_tables,
     search_with_control,
     stack,
+    tagged_search,
 )
 
 __all__ = [
+    "AnalysisSettings",
     "Lookups",
     "all_matches",
+    "classified_matches",
     "classify",
     "match_table",
     "process_all",
@@ -22,4 +27,5 @@ __all__ = [
     "score_tables",
     "search_with_control",
     "stack",
+    "tagged_search",
 ]

@@ -6,14 +6,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protomatch.operators.collapse import collapse_targets
 from protomatch.operators.control import SHUFFLED_TAG, shuffle_sequences
-from protomatch.operators.dedupe import dedupe_spacers
+from protomatch.operators.dedupe import DATABASE_PREFERENCE, dedupe_spacers
 from protomatch.operators.enrich import (
+    GAP_WEIGHT,
     MATCH_COLUMN_ORDER,
+    MISMATCH_WEIGHT,
     add_spacer_details,
     add_strain_names,
     add_targets,
@@ -24,16 +26,52 @@ from protomatch.operators.enrich import (
     ungapped,
     without_ambiguous_runs,
 )
-from protomatch.operators.parse import REAL_RUN, coerce_numbers, parse_ids
-from protomatch.operators.report import HEADINGS, annotate_taxonomy, score_table
+from protomatch.operators.parse import NUMERIC_COLUMNS, REAL_RUN, coerce_numbers, parse_ids
+from protomatch.operators.report import (
+    ANNOTATED_SCORE,
+    LENGTH_CUTOFF,
+    SCORE_FLOOR,
+    TOP_SCORE,
+    annotate_taxonomy,
+    host_target_representatives,
+    relationship_summary,
+    score_table,
+    top_hits,
+)
 from protomatch.operators.search import SearchSettings, query_extent, search
 from protomatch.operators.select import select_hits
 from protomatch.sources import sinks
-from protomatch.sources.staging import SharedStage, Stage, lazily
+from protomatch.sources.staging import SharedStage, Stage
 
 KINDS = ("genbank", "imgvr")
 
 
+@dataclass(frozen=True)
+class AnalysisSettings:
+    """Every parameter of the analysis in one place; the defaults are the published ones.
+
+    ``other_databases`` is the kind of hits whose database label is missing or
+    starts neither with ``gb`` nor with ``IMGVR``; unless set, such a hit is an error.
+    ``headings`` fixes the columns of the score tables; they come from the data otherwise.
+    """
+
+    split_on: str = "first"
+    mismatch_weight: int = MISMATCH_WEIGHT
+    gap_weight: int = GAP_WEIGHT
+    match_nulls: bool = False
+    null_policy: str = "propagate"
+    database_preference: Sequence[str] = DATABASE_PREFERENCE
+    other_databases: str | None = None
+    length_cutoff: int = LENGTH_CUTOFF
+    score_floor: int = SCORE_FLOOR
+    annotated_score: float = ANNOTATED_SCORE
+    top_score: float = TOP_SCORE
+    headings: Sequence[str] | None = None
+
+
+DEFAULTS = AnalysisSettings()
+
+
 @dataclass(frozen=True)
 class Lookups:
     """Side tables of the analysis."""
@@ -55,21 +93,45 @@ def search_with_control(queries: DataFrame, targets: DataFrame, settings: Search
     return stack([search(queries, t, settings, extent).withColumn("run", F.lit(run)) for run, t in runs.items()])
 
 
-def is_kind(target_kind: str) -> Column:
-    """Hits searched against databases of this kind, by the database label."""
-    imgvr = F.col("target_database").startswith("IMGVR")
-    return {"genbank": ~imgvr, "imgvr": imgvr}[target_kind]
+def tagged_search(queries: DataFrame, targets: DataFrame, system: str, target_database: str,
+                  settings: SearchSettings = SearchSettings(), seed: int = 42) -> DataFrame:
+    """Search with control, tagged with its system and database: rows as the analysis takes them.
+
+    Numbers are text, as in result files, so both sources can be stacked.
+    """
+    found = search_with_control(queries, targets, settings, seed)
+    return found.withColumns({
+        **{c: F.col(c).cast("string") for c in NUMERIC_COLUMNS},
+        "position": F.col("position").cast("bigint"), "system": F.lit(system), "target_database": F.lit(target_database),
+    })
+
+
+def is_kind(target_kind: str, other: str | None = None) -> Column:
+    """Hits searched against databases of this kind, by the database label; each hit is of one kind.
+
+    Labels that are missing or unknown are of the ``other`` kind, or an error without it.
+    """
+    label = F.col("target_database")
+    unknown = F.lit(other) if other else F.raise_error(F.concat(
+        F.lit("unknown kind of target database: "), F.coalesce(label, F.lit("missing")))).cast("string")
+    kind = F.when(label.startswith("IMGVR"), "imgvr").when(label.startswith("gb"), "genbank").otherwise(unknown)
+    if target_kind not in KINDS or other not in (*KINDS, None):
+        raise ValueError(f"kinds of target database are {KINDS}")
+    return kind == target_kind
 
 
-def match_table(hits: DataFrame, lookups: Lookups, target_kind: str, split_on: str = "first") -> DataFrame:
+def match_table(hits: DataFrame, lookups: Lookups, target_kind: str, split_on: str = "first",
+                settings: AnalysisSettings | None = None) -> DataFrame:
     """Parsed, scored and named matches of one kind of target database, gapped ones included."""
+    use = settings or AnalysisSettings(split_on=split_on)
     targets = (
-        genbank_targets(lookups.phage_names.select("target_id", "target_gca", "phage"), lookups.phage_lengths)
+        genbank_targets(lookups.phage_names.select("target_id", "target_gca", "phage"), lookups.phage_lengths,
+                        use.match_nulls)
         if target_kind == "genbank" else lookups.imgvr_metadata
     )
-    parsed = parse_ids(coerce_numbers(without_ambiguous_runs(hits)), split_on)
-    scored = add_spacer_details(parsed, lookups.spacer_details)
-    named = add_targets(add_strain_names(scored, lookups.strain_names), targets)
+    parsed = parse_ids(coerce_numbers(without_ambiguous_runs(hits)), use.split_on)
+    scored = add_spacer_details(parsed, lookups.spacer_details, use.match_nulls, use.mismatch_weight, use.gap_weight)
+    named = add_targets(add_strain_names(scored, lookups.strain_names, use.match_nulls), targets, use.match_nulls)
     return front(named, MATCH_COLUMN_ORDER)
 
 
@@ -78,72 +140,125 @@ def stack(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def all_matches(hits: DataFrame, lookups: Lookups) -> DataFrame:
-    """The match table of both kinds of database."""
-    return stack([match_table(hits.filter(is_kind(k)), lookups, k) for k in KINDS])
+def all_matches(hits: DataFrame, lookups: Lookups, settings: AnalysisSettings = DEFAULTS) -> DataFrame:
+    """The match table of both kinds of database; reads the hits once per kind."""
+    return stack([
+        match_table(hits.filter(is_kind(k, settings.other_databases)), lookups, k, settings=settings) for k in KINDS
+    ])
+
+
+def _classify_kind(matches: DataFrame, lookups: Lookups, kind: str, match_nulls: bool) -> DataFrame:
+    if kind == "genbank":
+        return classify_genbank(matches, lookups.nucleoid_genbank, match_nulls)
+    return classify_imgvr(matches, lookups.nucleoid_imgvr, match_nulls)
+
 
+def classify(matches: DataFrame, lookups: Lookups, settings: AnalysisSettings = DEFAULTS) -> DataFrame:
+    """Nucleoid labels, looked up by genome for one kind of database and by target for the other.
 
-def classify(matches: DataFrame, lookups: Lookups) -> DataFrame:
-    """Nucleoid labels, looked up by genome for one kind of database and by target for the other."""
+    Reads ``matches`` once per kind, so they should come from a table; from raw
+    hits ``classified_matches`` is the shorter plan.
+    """
     return stack([
-        classify_genbank(matches.filter(is_kind("genbank")), lookups.nucleoid_genbank),
-        classify_imgvr(matches.filter(is_kind("imgvr")), lookups.nucleoid_imgvr),
+        _classify_kind(matches.filter(is_kind(k, settings.other_databases)), lookups, k, settings.match_nulls)
+        for k in KINDS
     ])
 
 
-def process_matches(matches: DataFrame, lookups: Lookups, null_policy: str = "propagate",
-                    stage: Stage = lazily) -> DataFrame:
+def classified_matches(hits: DataFrame, lookups: Lookups, settings: AnalysisSettings = DEFAULTS) -> DataFrame:
+    """Matches with their labels, each kind labelled in its own branch: two scans of the hits."""
+    return stack([
+        _classify_kind(
+            match_table(hits.filter(is_kind(k, settings.other_databases)), lookups, k, settings=settings),
+            lookups, k, settings.match_nulls)
+        for k in KINDS
+    ])
+
+
+def process_matches(matches: DataFrame, lookups: Lookups, null_policy: str | None = None,
+                    stage: Stage | None = None, settings: AnalysisSettings = DEFAULTS) -> DataFrame:
     """Match table to processed hits: classify, keep ungapped, select, collapse.
 
     Groups are kept apart by the file columns, so one call for any number of
     systems, databases and runs equals processing each result file on its own
-    and stacking the results. Matches and selected hits are read several times,
-    so either should come from a table: pass ``stage`` for large data.
+    and stacking the results. Intermediate tables are read several times and go
+    to the shared folder by default; ``stage=lazily`` repeats their plans instead,
+    which is for small data only.
     """
-    selected = select_hits(ungapped(classify(matches, lookups)), null_policy=null_policy, stage=stage)
-    return collapse_targets(stage(selected, "selected"), null_policy)
+    stage, policy = stage or SharedStage(matches.sparkSession), null_policy or settings.null_policy
+    selected = select_hits(ungapped(classify(matches, lookups, settings)), null_policy=policy, stage=stage)
+    return collapse_targets(stage(selected, "selected"), policy)
 
 
-def process_all(hits: DataFrame, lookups: Lookups, null_policy: str = "propagate", stage: Stage = lazily) -> DataFrame:
-    """Processed hits of every system, database and run from one table of raw hits."""
-    return process_matches(stage(all_matches(hits, lookups), "target_matches"), lookups, null_policy, stage)
+def process_all(hits: DataFrame, lookups: Lookups, null_policy: str | None = None, stage: Stage | None = None,
+                settings: AnalysisSettings = DEFAULTS) -> DataFrame:
+    """Processed hits of every system, database and run from one table of raw hits; the hits are scanned twice."""
+    stage = stage or SharedStage(hits.sparkSession)
+    matches = stage(all_matches(hits, lookups, settings), "target_matches")
+    return process_matches(matches, lookups, null_policy, stage, settings)
 
 
-def score_tables(unique: DataFrame, headings: Sequence[str] | None = HEADINGS) -> dict[str, DataFrame]:
+def score_tables(unique: DataFrame, headings: Sequence[str] | None = None,
+                 settings: AnalysisSettings = DEFAULTS) -> dict[str, DataFrame]:
     """The four score tables of de-duplicated hits."""
-    return {
-        "all": score_table(unique, headings=headings),
-        "large": score_table(unique, size="large", headings=headings),
-        "small": score_table(unique, size="small", headings=headings),
-        "nucleoid": score_table(unique, nucleoid_only=True, headings=headings),
-    }
+    def table(**only) -> DataFrame:
+        return score_table(unique, cutoff=settings.length_cutoff, floor=settings.score_floor,
+                           headings=headings or settings.headings, **only)
+
+    return {"all": table(), "large": table(size="large"), "small": table(size="small"), "nucleoid": table(nucleoid_only=True)}
+
+
+RESULTS = (
+    "target_matches", "processed", "hits", "unique_hits", "score_table_all", "score_table_large", "score_table_small",
+    "score_table_nucleoid", "nucleoid_hits", "top_hits", "host_target_representatives", "relationship_summary",
+)
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
-def _written(table: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
-    """Write a table and go on from the files; the schema is kept so an empty table reads back too."""
-    write(table, path)
+def _written(table: DataFrame, path: str, write: Callable[..., None]) -> DataFrame:
+    """Write a table unless it is finished, and go on from the files; the schema is kept so an empty table reads back too."""
+    if not _finished(table.sparkSession, path):
+        write(table, path, mode="overwrite")
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def run_workflow(hits: DataFrame, lookups: Lookups, taxonomy: DataFrame, out: str,
-                 headings: Sequence[str] | None = HEADINGS) -> dict[str, str]:
+                 headings: Sequence[str] | None = None, settings: AnalysisSettings = DEFAULTS) -> dict[str, str]:
     """Run everything and write each table below ``out``; returns where each one is.
 
     Each step continues from the table the previous one wrote, so a lost
-    executor costs one step. Tables that are no result go to the shared
-    checkpoint folder and are deleted at the end.
+    executor costs one step. A second run with the same ``out`` keeps finished
+    tables and does the rest, so it has to be given the same input and settings.
+    Tables that are no result go to the shared checkpoint folder and are
+    deleted at the end, also when a step fails.
     """
-    paths = {name: f"{out}/{name}" for name in (
-        "target_matches", "processed", "hits", "unique_hits", "score_table_all", "score_table_large",
-        "score_table_small", "score_table_nucleoid", "nucleoid_hits",
-    )}
-    stage = SharedStage(hits.sparkSession)
-    matches = _written(all_matches(hits, lookups), paths["target_matches"], sinks.write_match_table)
-    processed = _written(process_matches(matches, lookups, stage=stage), paths["processed"], sinks.write_processed)
-    stage.discard()
+    spark = hits.sparkSession
+    paths = {name: f"{out}/{name}" for name in RESULTS}
+    matches = _written(all_matches(hits, lookups, settings), paths["target_matches"], sinks.write_match_table)
+    stage = SharedStage(spark)
+    try:
+        if _finished(spark, paths["processed"]):
+            processed = spark.read.parquet(paths["processed"])
+        else:
+            processed = _written(process_matches(matches, lookups, stage=stage, settings=settings),
+                                 paths["processed"], sinks.write_processed)
+    finally:
+        stage.discard()
     stacked = _written(processed, paths["hits"], sinks.write_hits_table)
-    unique = _written(dedupe_spacers(stacked), paths["unique_hits"], sinks.write_annotated_hits)
-    for name, table in score_tables(unique, headings).items():
-        sinks.write_score_table(table, paths[f"score_table_{name}"])
-    sinks.write_annotated_hits(annotate_taxonomy(unique, taxonomy), paths["nucleoid_hits"])
+    unique = _written(dedupe_spacers(stacked, settings.database_preference, settings.null_policy),
+                      paths["unique_hits"], sinks.write_annotated_hits)
+    for name, table in score_tables(unique, headings, settings).items():
+        if not _finished(spark, paths[f"score_table_{name}"]):
+            sinks.write_score_table(table, paths[f"score_table_{name}"], mode="overwrite")
+    annotated = annotate_taxonomy(unique, taxonomy, settings.annotated_score, settings.match_nulls)
+    _written(annotated, paths["nucleoid_hits"], sinks.write_annotated_hits)
+    best = top_hits(ungapped(classify(matches, lookups, settings)), settings.top_score)
+    best = _written(best, paths["top_hits"], sinks.write_annotated_hits)
+    chosen = _written(host_target_representatives(best), paths["host_target_representatives"], sinks.write_annotated_hits)
+    _written(relationship_summary(chosen), paths["relationship_summary"], sinks.write_annotated_hits)
     return paths

@@ -1,6 +1,7 @@
 from protomatch.sources.readers import (
     drop_header_lines,
     pairs_to_lines,
+    parse_cells,
     read_fasta,
     read_hits,
     read_hits_tables,
@@ -18,6 +19,7 @@ from protomatch.sources.readers import (
 from protomatch.sources.sinks import (
     write_annotated_hits,
     write_hits_table,
+    write_length_classes,
     write_match_table,
     write_processed,
     write_score_table,
@@ -26,6 +28,7 @@ from protomatch.sources.sinks import (
 __all__ = [
     "drop_header_lines",
     "pairs_to_lines",
+    "parse_cells",
     "read_fasta",
     "read_hits",
     "read_hits_tables",
@@ -41,6 +44,7 @@ __all__ = [
     "read_taxonomy",
     "write_annotated_hits",
     "write_hits_table",
+    "write_length_classes",
     "write_match_table",
     "write_processed",
     "write_score_table",

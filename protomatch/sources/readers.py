@@ -13,6 +13,7 @@ from protomatch.sources import schemas
 # Profile emissions are given with five decimals; as whole numbers their sums
 # are exact in any order of addition.
 EMISSION_SCALE = 100_000
+MISSING = "NA"
 # Stands in for a zero-probability emission.
 IMPOSSIBLE_EMISSION = -10_000_000
 
@@ -23,19 +24,31 @@ def _strip_carriage_returns(df: DataFrame) -> DataFrame:
     return df.withColumns(strings)
 
 
-def _read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
-    # The last column is read as text so a trailing CR cannot spoil a number.
+def missing_text(value: Column) -> Column:
+    """Empty cells and ``NA`` are missing, in text and number columns alike."""
+    return F.when(~value.isin("", MISSING), value)
+
+
+def parse_cells(raw: DataFrame, schema: str) -> DataFrame:
+    """Typed columns from the text cells of a file: missing ones NULL, words in number columns too."""
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
-    raw = ", ".join(f"{name} string" for name, _ in fields)
-    df = spark.read.schema(raw).option("sep", "\t").option("header", header).option("quote", "").csv(path)
-    df = _strip_carriage_returns(df)
-    return df.select(*[
-        F.col(n) if t == "string" else F.col(n).try_cast(t).alias(n) for n, t in fields
+    known = {f.name for f in raw.schema}
+    cells = _strip_carriage_returns(raw.select(*[n for n, _ in fields if n in known]))
+    return cells.select(*[
+        (missing_text(F.col(n)) if t == "string" else missing_text(F.col(n)).try_cast(t)).alias(n)
+        for n, t in fields if n in known
     ])
 
 
-def read_hits(spark: SparkSession, path: str, system: str, target_database: str, run: str) -> DataFrame:
-    """One search result file, tagged with where it came from."""
+def _read_tsv(spark: SparkSession, path: str | list[str], schema: str, header: bool = False) -> DataFrame:
+    # All columns are read as text so a trailing CR cannot spoil a number.
+    raw = ", ".join(f"{f.strip().rsplit(' ', 1)[0]} string" for f in schema.split(","))
+    df = spark.read.schema(raw).option("sep", "\t").option("header", header).option("quote", "").csv(path)
+    return parse_cells(df, schema)
+
+
+def read_hits(spark: SparkSession, path: str | list[str], system: str, target_database: str, run: str) -> DataFrame:
+    """Search result files of one search, tagged with where they came from."""
     return _read_tsv(spark, path, schemas.HITS).withColumns({
         "system": F.lit(system),
         "target_database": F.lit(target_database),
@@ -44,8 +57,11 @@ def read_hits(spark: SparkSession, path: str, system: str, target_database: str,
 
 
 def read_search_results(spark: SparkSession, files: Iterable[tuple[str, str, str, str]]) -> DataFrame:
-    """Stack search result files given as (path, system, target_database, run)."""
-    return reduce(DataFrame.unionByName, [read_hits(spark, *f) for f in files])
+    """Search result files given as (path, system, target_database, run); files of equal tags are one scan."""
+    grouped: dict[tuple[str, str, str], list[str]] = {}
+    for path, *tags in files:
+        grouped.setdefault(tuple(tags), []).append(path)
+    return reduce(DataFrame.unionByName, [read_hits(spark, paths, *tags) for tags, paths in grouped.items()])
 
 
 def read_phage_names(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +70,8 @@ def read_phage_names(spark: SparkSession, path: str) -> DataFrame:
     # A CR at the line end also clings to the last column name.
     df = df.toDF(*[c.rstrip("\r") for c in df.columns])
     df = df.toDF(*[c.replace(".", "_").lower() for c in df.columns])
-    return _strip_carriage_returns(df.withColumnRenamed("species", "phage"))
+    df = _strip_carriage_returns(df.withColumnRenamed("species", "phage"))
+    return df.select(*[missing_text(F.col(c)).alias(c) for c in df.columns])
 
 
 def read_phage_lengths(spark: SparkSession, path: str) -> DataFrame:
@@ -76,15 +93,27 @@ def read_strain_names(spark: SparkSession, path: str, system: str | None = None)
     return df if system is None else df.withColumn("system", F.lit(system))
 
 
-def read_nucleoid_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _with_schema(table: DataFrame, schema: str) -> DataFrame:
+    """The declared columns, in order and typed; further ones stay behind them, a lacking one is an error."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    named = [n for n, _ in fields]
+    return table.select(*[F.col(n).cast(t).alias(n) for n, t in fields], *[c for c in table.columns if c not in named])
+
+
+def read_nucleoid_table(spark: SparkSession, path: str, key: str = "target_gca", text: bool = False) -> DataFrame:
+    """Nucleoid labels by ``target_gca`` or ``target_id``; ``text`` reads tab-separated files with a header row."""
+    schema = f"{key} string, {schemas.NUCLEOID}"
+    if not text:
+        return _with_schema(spark.read.parquet(path), schema)
+    table = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    table = table.toDF(*[c.rstrip("\r") for c in table.columns])
+    return _with_schema(parse_cells(table, ", ".join(f"{c} string" for c in table.columns)), schema)
 
 
 def read_hits_tables(spark: SparkSession, *paths: str) -> DataFrame:
-    """Stored hit tables, one per system or already stacked, by column name."""
-    return reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in paths]
-    )
+    """Stored hit tables, one per system or already stacked, by column name; columns that reports use must be there."""
+    tables = [_with_schema(spark.read.parquet(p), schemas.STORED_HITS) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -106,11 +135,11 @@ def drop_header_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_spacer_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Two-column ``>id sequence`` text as (seq_id, seq)."""
+    """``>id sequence`` text as (seq_id, seq); a sequence in several tokens is put together."""
     tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     return (
         spark.read.text(path)
-        .select(F.get(tokens, F.lit(0)).alias("head"), F.get(tokens, F.lit(1)).alias("seq"))
+        .select(F.get(tokens, F.lit(0)).alias("head"), F.nullif(F.array_join(F.slice(tokens, 2, F.size(tokens)), ""), F.lit("")).alias("seq"))
         .filter(F.col("head") != "")
         .select(F.regexp_replace("head", "^>", "").alias("seq_id"), F.upper("seq").alias("seq"))
     )

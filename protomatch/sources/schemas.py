@@ -30,3 +30,12 @@ NUCLEOID_COLUMNS = (
     "shell_description",
     "tubulin_description",
 )
+NUCLEOID = (
+    "nucleoid_forming string, shell_id string, tubulin_id string, shell_evalue string, tubulin_evalue string, "
+    "shell_description string, tubulin_description string"
+)
+# What the reports read from stored hits.
+STORED_HITS = (
+    "system string, shuffled string, target_database string, gcf string, target_gca string, target_id string, "
+    "spacer_seq string, target_length bigint, score double, nucleoid_forming string"
+)

@@ -36,6 +36,11 @@ def write_hits_table(hits: DataFrame, path: str, mode: str = "error") -> None:
     _write_partitioned(hits, path, mode, "system")
 
 
+def write_length_classes(targets: DataFrame, path: str, mode: str = "error") -> None:
+    """Targets with a ``size_class``, one directory per class, for searches of one class at a time."""
+    targets.hint("rebalance", "size_class").write.mode(mode).partitionBy("size_class").parquet(path)
+
+
 def write_annotated_hits(hits: DataFrame, path: str, mode: str = "error") -> None:
     hits.write.mode(mode).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protomatch.operators import control, profile, report
-from protomatch.operators.collapse import collapse_targets
+from protomatch.operators.collapse import COLLAPSED, SEPARATOR, collapse_targets
 from protomatch.operators.dedupe import dedupe_spacers
 from protomatch.operators.enrich import (
     add_spacer_details,
@@ -23,7 +23,7 @@ from protomatch.operators.enrich import (
 from protomatch.operators.parse import coerce_numbers, parse_ids
 from protomatch.operators.search import SearchSettings, search
 from protomatch.operators.select import select_hits
-from protomatch.plans import all_matches, classify, match_table, process_all, stack
+from protomatch.plans import all_matches, classified_matches, classify, match_table, process_all, stack
 from protomatch.plans.workflow import is_kind
 from protomatch.sources import drop_header_lines, pairs_to_lines
 from protomatch.sources.staging import SharedStage, Stage, lazily
@@ -44,6 +44,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _classified(spark: SparkSession, sf_dir: str, stage: Stage = lazily) -> DataFrame:
     """Classified hits of both kinds of database, before the gap filter."""
     hits, look = fixtures.search_hits(spark, sf_dir), fixtures.lookups(spark, sf_dir)
+    if stage is lazily:
+        return classified_matches(hits, look)
     return classify(stage(all_matches(hits, look), "target_matches"), look)
 
 
@@ -125,12 +127,12 @@ def host_target_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collapse_targets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result table from raw hits of the metagenome databases, all rules applied."""
-    hits, look = fixtures.search_hits(spark, sf_dir), fixtures.lookups(spark, sf_dir)
+    """Targets of each spacer as lists, from raw hits of all databases, all rules applied."""
     stage = SharedStage(spark)
-    matches = stage(match_table(hits.filter(is_kind("imgvr")), look, "imgvr"), "target_matches")
-    classified = ungapped(classify_imgvr(matches, look.nucleoid_imgvr))
-    return collapse_targets(stage(select_hits(classified, stage=stage), "selected"))
+    selected = select_hits(ungapped(_classified(spark, sf_dir, stage)), stage=stage)
+    collapsed = collapse_targets(stage(selected, "selected"), as_array=True)
+    # Lists are compared as the text that the other form of the collapse gives.
+    return collapsed.withColumns({c: F.array_join(F.col(c).cast("array<string>"), SEPARATOR) for c in COLLAPSED})
 
 
 def union_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,19 +154,19 @@ def _unique_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir), headings=report.HEADINGS)
+    return report.score_table(_unique_hits(spark, sf_dir))
 
 
 def score_table_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir), size="large", headings=report.HEADINGS)
+    return report.score_table(_unique_hits(spark, sf_dir), size="large")
 
 
 def score_table_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir), size="small", headings=report.HEADINGS)
+    return report.score_table(_unique_hits(spark, sf_dir), size="small")
 
 
 def score_table_nf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir), nucleoid_only=True, headings=report.HEADINGS)
+    return report.score_table(_unique_hits(spark, sf_dir), nucleoid_only=True)
 
 
 def taxonomy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,12 +206,13 @@ def shuffled_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.screen_profiles(fixtures.proteins(spark, sf_dir), fixtures.emissions(spark))
+    screened = profile.screen_profiles(fixtures.proteins(spark, sf_dir), fixtures.emissions(spark))
+    return screened.select("protein_id", "profile", "score")
 
 
 def genome_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     proteins = fixtures.proteins(spark, sf_dir)
-    hits = profile.best_hits(profile.screen_profiles(proteins, fixtures.emissions(spark)), proteins)
+    hits = profile.best_hits(profile.screen_profiles(proteins, fixtures.emissions(spark)))
     return profile.classify_genomes(proteins.select("genome_id").distinct(), hits, fixtures.THRESHOLDS)
 
 

@@ -276,7 +276,7 @@ left join (select substr(assembly,1,15) as assembly, strain from strains) s usin
     "q13_top_score_per_spacer": _with("select * from by_score"),
     "q14_top_completeness": _with("select * from by_completeness"),
     "q15_host_target_support": _with("select * from selected"),
-    "q16_collapse_targets": _with("select * from processed where starts_with(target_database,'IMGVR')"),
+    "q16_collapse_targets": _with("select * from processed"),
     "q17_union_databases": _with("select * from processed"),
     "q18_union_systems": _with("""
 select * from selected where system = 'TypeIII' union all by name

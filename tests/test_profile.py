@@ -43,20 +43,33 @@ def slow_best(seq, table):
         for node, row in enumerate(table):
             p = start + node
             if 0 <= p < len(seq):
-                run = max(0, run + int(row[ord(seq[p])]))
+                run = max(0, run + int(row.get(seq[p].upper(), 0)))
                 best = max(best, run)
     return best
 
 
 def test_best_segments_match_a_plain_search():
     rng = random.Random(5)
-    table = np.zeros((9, 256), dtype=np.int64)
-    for node in range(9):
-        for c in "ACDEF":
-            table[node, ord(c)] = rng.randrange(-5, 5)
+    columns = {c: k + 2 for k, c in enumerate("ACDEΩ")}
+    table = np.zeros((9, 7), dtype=np.int64)
+    table[:, 2:] = [[rng.randrange(-5, 5) for _ in columns] for _ in range(9)]
     table[:, 0] = -(1 << 40)
-    seqs = ["".join(rng.choice("ACDEFX") for _ in range(rng.randrange(0, 30))) for _ in range(40)] + ["", "A"]
-    assert best_segments(seqs, table).tolist() == [slow_best(s, table) for s in seqs]
+    rows = [{c: row[k] for c, k in columns.items()} for row in table]
+    # Small letters count as capitals; letters that the model lacks, of any alphabet, score 0.
+    seqs = ["".join(rng.choice("ACDEacΩωXß\U0001F600") for _ in range(rng.randrange(0, 30))) for _ in range(40)] + ["", "A"]
+    assert best_segments(seqs, (columns, table)).tolist() == [slow_best(s, rows) for s in seqs]
+
+
+def test_lower_case_residues_and_repeated_proteins(spark):
+    emissions = spark.createDataFrame([("m", 1, "A", 5), ("m", 2, "c", 7), ("m", 1, "Ж", 1)], "profile string, node int, residue string, score bigint")
+    proteins = spark.createDataFrame([("p", "g1", "acd"), ("p", "g1", "ACD"), ("p", "g2", "x"), ("q", "g1", "AC"), ("r", "g3", None)], "protein_id string, genome_id string, seq string")
+    screened = screen_profiles(proteins, emissions)
+    assert rows_of(screened, "protein_id", "genome_id", "score") == [("p", "g1", 12), ("p", "g1", 12), ("p", "g2", 0), ("q", "g1", 12), ("r", "g3", 0)]
+    assert rows_of(best_hits(screened), "genome_id", "protein_id", "score") == [("g1", "p", 12), ("g2", "p", 0), ("g3", "r", 0)]
+    assert rows_of(screen_profiles(proteins, emissions, min_score=12), "protein_id") == [("p",), ("p",), ("q",)]
+    # One scan of the proteins, and no join to find their genomes.
+    plan = best_hits(screened)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def emission_rows(spark, nodes=3):
