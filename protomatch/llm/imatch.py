@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,8 +54,16 @@ def terms_of(text: str) -> set[str]:
     return set(TERM.findall(text.lower()))
 
 
+def codes_of(terms: Iterable[str]) -> np.ndarray:
+    """64-bit digests of terms, which stand for them from here on."""
+    return np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
+
+
 def document_frequencies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``term``, ``df``: documents that have the term; counted in the task before they are shuffled."""
+    """``code``, ``df``: documents that have the term with this digest; counted in the task before they are shuffled."""
+
+    def counted(seen: Counter[str]) -> pd.DataFrame:
+        return pd.DataFrame({"code": codes_of(seen).view(np.int64), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
@@ -63,20 +71,20 @@ def document_frequencies(docs: DataFrame, *, text_col: str = "text") -> DataFram
             for text in batch["text"]:
                 seen.update(terms_of(text))
                 if len(seen) >= FLUSH:
-                    yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+                    yield counted(seen)
                     seen.clear()
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}).astype({"term": str, "n": "int64"})
+        yield counted(seen)
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return texts.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("df"))
 
 
-def lexicon(docs: DataFrame, *, low: float = LOW, high: float = HIGH, text_col: str = "text") -> list[str]:
-    """Terms in at least ``low`` and at most ``high`` of the documents, from all documents."""
+def lexicon(docs: DataFrame, *, low: float = LOW, high: float = HIGH, text_col: str = "text") -> np.ndarray:
+    """Sorted digests of the terms in at least ``low`` and at most ``high`` of the documents, from all documents."""
     n_docs = docs.count()
     least, most = max(low * n_docs, 1), max(high * n_docs, 1)
     band = document_frequencies(docs, text_col=text_col).where((F.col("df") >= least) & (F.col("df") <= most))
-    return sorted(row["term"] for row in band.select("term").collect())
+    return np.sort(np.array([row["code"] for row in band.select("code").collect()], np.int64).view(np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,16 +93,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def subset_hashes(text: str, band: dict[str, int]) -> dict[str, np.ndarray]:
+def subset_hashes(text: str, band: np.ndarray) -> dict[str, np.ndarray]:
     """Per scale, for each subset that picks a term: its number in the top byte, the hash of its sorted distinct terms below."""
-    found = terms_of(text)
-    codes = [c for c in map(band.get, found) if c is not None]
-    mark = ""
-    if not codes:
-        mark, codes = "t", [xxhash.xxh64_intdigest(t) for t in found]
-    if not codes:
+    codes, mark = np.sort(codes_of(terms_of(text))), ""
+    known = codes[band[np.minimum(np.searchsorted(band, codes), len(band) - 1)] == codes] if len(band) else codes[:0]
+    terms = known
+    if not len(known):
+        mark, terms = "t", codes
+    if not len(terms):
         return {"w" + hashlib.blake2b(text.encode(), digest_size=12).hexdigest(): np.zeros(0, np.uint32)}
-    terms = np.sort(np.array(codes, np.uint64))
     first_scale, out = (len(terms).bit_length() - 1) // 2 + 1, {}
     keys = _mixed(terms[None, :] ^ SEEDS[:, None])
     for scale in (first_scale, first_scale + 1):
@@ -120,7 +127,7 @@ def decoded(fingerprint: str) -> dict[str, np.ndarray]:
     return {scale: np.frombuffer(bytes.fromhex(h), ">u4").astype(np.uint32) for scale, _, h in parts}
 
 
-def fingerprint(text: str, band: dict[str, int]) -> str:
+def fingerprint(text: str, band: np.ndarray) -> str:
     return encoded(subset_hashes(text, band))
 
 
@@ -175,16 +182,15 @@ def _in_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return rows.repartitionById(n, F.col("range_")).sortWithinPartitions("range_", "guest", "place", "h"), n
 
 
-def fingerprint_documents(docs: DataFrame, terms: list[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, terms: np.ndarray | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text and how like the edited and the next text's are."""
     spark: SparkSession = docs.sparkSession
     terms = lexicon(docs, text_col=text_col) if terms is None else terms
-    shared = spark.sparkContext.broadcast("\n".join(terms))
+    shared = spark.sparkContext.broadcast(terms)
     rows, _ = _in_ranges(docs, id_col, text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band = {t: xxhash.xxh64_intdigest(t) for t in shared.value.split("\n") if t}
-        before = None
+        band, before = shared.value, None
         for batch in batches:
             out = []
             for place, text, group, guest in zip(batch["place"], batch["text"], batch["range_"], batch["guest"], strict=True):

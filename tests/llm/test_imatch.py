@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from protomatch.llm.imatch import decoded, document_frequencies, edited, fingerprint_documents, lexicon, likeness, terms_of
+from protomatch.llm.imatch import codes_of, decoded, document_frequencies, edited, fingerprint_documents, lexicon, likeness, terms_of
 from tests.llm.helpers import documents, odd_rows, prose
 
 
@@ -30,10 +30,11 @@ def test_edited_texts_next_documents_and_likeness(spark):
 def test_lexicon_is_the_band_of_document_frequencies(spark):
     rows = [(k, f"all half{k % 2} rare{k} twice{k // 2} twice{k // 2}", None, None, None) for k in range(40)]
     docs = documents(spark, rows)
-    counts = {r["term"]: r["df"] for r in document_frequencies(docs).collect()}
+    counts = {r["code"] % 2**64: r["df"] for r in document_frequencies(docs).collect()}
     brute = {t: sum(t in terms_of(r[1]) for r in rows) for r in rows for t in terms_of(r[1])}
-    assert counts == brute
-    assert lexicon(docs, low=0.05, high=0.5) == sorted(t for t, n in brute.items() if 2 <= n <= 20)
+    assert counts == {int(codes_of([t])[0]): n for t, n in brute.items()}
+    band = [t for t, n in brute.items() if 2 <= n <= 20]
+    assert lexicon(docs, low=0.05, high=0.5).tolist() == sorted(codes_of(band).tolist())
 
 
 def test_odd_rows_clashing_columns_and_empty_tables(spark):
