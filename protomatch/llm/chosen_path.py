@@ -125,7 +125,7 @@ def signed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _descend(rows: DataFrame) -> DataFrame:
-    """From (``path``, ``node``, ``sig``) to (``path``, ``node``) one level down."""
+    """From (``path``, ``node``, ``sig``) to (``path``, ``node``) one level down; a child has one parent, so no row comes twice."""
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,7 +134,7 @@ def _descend(rows: DataFrame) -> DataFrame:
                 row, path = _children(sigs, batch["path"].to_numpy().view(np.uint64))
                 yield pd.DataFrame({"path": _signed(path), "node": batch["node"].to_numpy()[row]})
 
-    return rows.select("path", "node", "sig").mapInPandas(step, "path long, node long").dropDuplicates(["path", "node"])
+    return rows.select("path", "node", "sig").mapInPandas(step, "path long, node long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
