@@ -8,7 +8,7 @@ import pytest
 
 from helpers import executed_plan, rows_of, settings
 from protomatch.operators.control import length_class, shuffle_sequences
-from protomatch.operators.search import SearchSettings, search
+from protomatch.operators.search import SearchSettings, query_extent, search
 from protomatch.plans import search_with_control
 
 COLUMNS = ["spacer_id", "target_id", "strand", "position", "details", "mismatches", "gaps", "alignment_seq",
@@ -70,6 +70,24 @@ def test_search_finds_exactly_what_brute_force_finds(spark, options):
         key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+def test_queries_of_very_unlike_lengths_and_blocks_of_queries(spark):
+    rng = random.Random(17)
+    queries, targets = random_case(rng, [20, 40, 70, 71, 150, 400, 900, 2000], n_targets=2, target_length=2600)
+    q = spark.createDataFrame(queries, "spacer_id string, seq string")
+    t = spark.createDataFrame(targets, "target_id string, seq string")
+    want = sorted(brute_force(queries, targets, 7, 80), key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert rows_of(search(q, t), *COLUMNS) == want
+    # Blocks of the query side give the same.
+    assert rows_of(search(q, t, SearchSettings(broadcast_bytes=400_000)), *COLUMNS) == want
+
+
+def test_a_long_query_does_not_widen_the_rows_of_short_ones(spark):
+    short = [("a", "ACGTTGCAAC" * 3), ("b", "ACGTTGCAAC" * 6)]
+    classes = lambda rows: query_extent(spark.createDataFrame(rows, "spacer_id string, seq string"), SearchSettings())
+    assert classes(short) == classes([*short, ("long", "ACGT" * 500)])[:1]
+    assert [c.longest for c in classes([*short, ("long", "ACGT" * 500)])] == [60, 2000]
+
+
 def test_exact_copies_are_always_found(spark):
     rng = random.Random(1)
     seq = "".join(rng.choice("ACGT") for _ in range(3000))
@@ -110,6 +128,17 @@ def test_shuffle_keeps_composition_and_repeats(spark, key):
     assert first["b-shuffled"] == "" and first["c-shuffled"] is None
 
 
+@pytest.mark.parametrize("key", ["xxhash64", "md5"])
+def test_long_sequences_are_permuted_alike_in_buckets(spark, key):
+    rng = random.Random(5)
+    long = "".join(rng.choice("ACGTN") for _ in range(9000))
+    source = [("a", long), ("a", long), ("a", long[::-1]), (None, long), ("short", "ACGT" * 5), ("empty", ""), ("null", None)]
+    df = spark.createDataFrame(source, "target_id string, seq string")
+    whole = rows_of(shuffle_sequences(df, "target_id", key=key, long_from=None))
+    assert rows_of(shuffle_sequences(df, "target_id", key=key, long_from=5000)) == whole
+    assert len(whole) == len(source)
+
+
 def test_length_classes_split_at_the_cut(spark):
     df = spark.createDataFrame([(149_999,), (150_000,), (None,)], "target_length bigint")
     assert rows_of(length_class(df), "target_length", "size_class") == [
