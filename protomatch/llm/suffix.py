@@ -37,12 +37,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, ANCHOR = 50, 20
 BUCKET_BYTES = 4 << 20
 CHUNK_BYTES, CHUNK_MOST = 256 << 10, 32 << 20
+KEY_BITS = 39
 HOT = 20_000
 # Symbols of nine bits in a key of 64; the expansion starts from prefixes of that many.
 KEY_SYMBOLS = 7
@@ -83,37 +85,48 @@ def _texts(group: pd.DataFrame) -> list[tuple[int, str | None, bytes]]:
     return sorted(rows, key=lambda r: (r[0], r[2]))
 
 
-def _split(digests: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the digests of each bucket."""
-    bucket = (digests % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-        yield int(bucket[order[lo]]), order[lo:hi]
+def _keys(digests: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and KEY_BITS further bits of a digest. Digests that share these are only ever compared needlessly."""
+    n = np.uint64(buckets)
+    return ((digests % n) << np.uint64(KEY_BITS)) | ((digests // n) & np.uint64(2**KEY_BITS - 1))
+
+
+def _packed(keys: np.ndarray, marks: np.ndarray) -> bytes:
+    """Keys of one bucket without it, each with a mark as its lowest bit, in five bytes."""
+    values = ((keys & np.uint64(2**KEY_BITS - 1)) << np.uint64(1)) | marks.astype(np.uint64)
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys without their bucket, and their marks."""
+    values = np.zeros((len(data) // 5, 8), np.uint8)
+    values[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    values = values.view("<u8").ravel()
+    return values >> np.uint64(1), (values & np.uint64(1)).astype(bool)
 
 
 def _count_anchors(group: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
-    """Digests of a chunk by bucket; the lowest bit says that two of its documents have it."""
-    per_doc = [np.unique(anchors(data, length)[2]) for _, _, data in _texts(group)]
-    digests, times = np.unique(np.concatenate(per_doc), return_counts=True)
-    values, chunk = (digests << np.uint64(1)) | (times > 1).astype(np.uint64), int(group["chunk"].iloc[0])
-    rows = [(b, chunk, values[where].tobytes()) for b, where in _split(digests, buckets)]
+    """Keys of a chunk by bucket, each once; marked if two of its documents have it."""
+    per_doc = [np.unique(_keys(anchors(data, length)[2], buckets)) for _, _, data in _texts(group)]
+    keys, times = np.unique(np.concatenate(per_doc), return_counts=True)
+    bucket, chunk = (keys >> np.uint64(KEY_BITS)).astype(np.int64), int(group["chunk"].iloc[0])
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    rows = [(int(bucket[lo]), chunk, _packed(keys[lo:hi], times[lo:hi] > 1)) for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
     return pd.DataFrame(rows, columns=["bucket", "chunk", "data"])
 
 
 def _repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk, its digests that at least two documents have; the lowest bit says that the anchor is hot."""
-    parts = [np.frombuffer(x, np.uint64) for x in group["data"]]
-    values = np.concatenate(parts)
-    _, inverse, chunks = np.unique(values >> np.uint64(1), return_inverse=True, return_counts=True)
-    times = np.bincount(inverse, 1 + (values & np.uint64(1)).astype(np.int64))
-    out = ((values >> np.uint64(1)) << np.uint64(1)) | (chunks[inverse] > HOT).astype(np.uint64)
-    kept, rows, at = times[inverse] > 1, [], 0
-    for chunk, part in zip(group["chunk"], parts, strict=True):
-        data = out[at:at + len(part)][kept[at:at + len(part)]]
+    """For each chunk, its keys that at least two documents have; marked if the anchor is hot. Buckets go back as -1 - bucket."""
+    parts = [_unpacked(x) for x in group["data"]]
+    keys, many = np.concatenate([k for k, _ in parts]), np.concatenate([m for _, m in parts])
+    _, inverse, chunks = np.unique(keys, return_inverse=True, return_counts=True)
+    repeated, hot = np.bincount(inverse, 1 + many)[inverse] > 1, chunks[inverse] > HOT
+    rows, at, bucket = [], 0, -1 - int(group["bucket"].iloc[0])
+    for chunk, (part, _) in zip(group["chunk"], parts, strict=True):
+        kept = slice(at, at + len(part))
         at += len(part)
-        if len(data):
-            rows.append((chunk, -1, data.tobytes()))
+        if repeated[kept].any():
+            rows.append((chunk, bucket, _packed(part[repeated[kept]], hot[kept][repeated[kept]])))
     return pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
 
 
@@ -123,28 +136,36 @@ class _Chunk:
     def __init__(self, group: pd.DataFrame, repeated: pd.DataFrame, length: int, buckets: int) -> None:
         self.texts, self.places = _texts(group), []
         self.segments: dict[int, dict[bytes, list[int]]] = {}
-        values = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in repeated["data"])]))
-        digests, hot = values >> np.uint64(1), (values & np.uint64(1)).astype(bool)
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, bool))]
+        for bucket, data in zip(repeated["bucket"], repeated["data"], strict=True):
+            part, marks = _unpacked(data)
+            parts.append((part | np.uint64((-1 - bucket) << KEY_BITS), marks))
+        known, hot = np.concatenate([k for k, _ in parts]), np.concatenate([m for _, m in parts])
+        order = np.argsort(known)
+        known, hot = known[order], hot[order]
         for k, (place, _, data) in enumerate(self.texts):
             first, past, digest = anchors(data, length)
-            if not len(digests) or not len(digest):
+            if not len(known) or not len(digest):
                 continue
-            at = np.minimum(np.searchsorted(digests, digest), len(digests) - 1)
-            known = digests[at] == digest
-            for lo, hi, d, single in zip(first[known].tolist(), past[known].tolist(), digest[known].tolist(), hot[at[known]].tolist(), strict=True):
+            keys = _keys(digest, buckets)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            found = known[at] == keys
+            bucket_of = (keys[found] >> np.uint64(KEY_BITS)).tolist()
+            for lo, hi, bucket, single in zip(first[found].tolist(), past[found].tolist(), bucket_of, hot[at[found]].tolist(), strict=True):
                 if single:
                     for s in range(lo, hi):
                         string = data[s:s + length]
                         self._add(k, place, s, string, xxhash.xxh64_intdigest(string) % buckets)
                 else:
-                    self._add(k, place, lo, data[lo:hi + length - 1], d % buckets)
+                    self._add(k, place, lo, data[lo:hi + length - 1], bucket)
 
     def _add(self, k: int, place: int, start: int, segment: bytes, bucket: int) -> None:
         held = self.segments.setdefault(bucket, {})
         entry = held.get(segment)
         if entry is None:
             entry = held[segment] = [len(held), place, place]
-        entry[1], entry[2] = min(entry[1], place), max(entry[2], place)
+        elif place > entry[2]:  # Texts come in the order of their ids.
+            entry[2] = place
         self.places.append((k, start, bucket, entry[0]))
 
 
@@ -154,7 +175,8 @@ def _send_segments(group: pd.DataFrame, repeated: pd.DataFrame, length: int, buc
         for bucket, held in _Chunk(group, repeated, length, buckets).segments.items():
             entries = np.array([e[1:] for e in held.values()], np.int64)
             rows.append((
-                bucket, int(group["chunk"].iloc[0]), np.array([len(s) for s in held], np.int32).tobytes(), b"".join(held), entries.tobytes(),
+                bucket, int(group["chunk"].iloc[0]), np.array([len(s) for s in held], np.int32).tobytes(),
+                zstandard.compress(b"".join(held), 1), entries.tobytes(),
             ))
     return pd.DataFrame(rows, columns=["bucket", "chunk", "lengths", "data", "ids"])
 
@@ -244,9 +266,10 @@ def _expand(group: pd.DataFrame, length: int) -> pd.DataFrame:
     """For each chunk and its segments: runs of strings that start in a smaller document, with the smallest id."""
     known: dict[bytes, int] = {}
     smallest: list[int] = []
-    chunks = []
+    chunks, unpack = [], zstandard.ZstdDecompressor().decompress
     for chunk, bucket, lengths, data, ids in zip(group["chunk"], group["bucket"], group["lengths"], group["data"], group["ids"], strict=True):
-        sizes, ids, at, own = np.frombuffer(lengths, np.int32), np.frombuffer(ids, np.int64).reshape(-1, 2), 0, []
+        data, at, own = unpack(data), 0, []
+        sizes, ids = np.frombuffer(lengths, np.int32), np.frombuffer(ids, np.int64).reshape(-1, 2)
         for size, least in zip(sizes.tolist(), ids[:, 0].tolist(), strict=True):
             segment = data[at:at + size]
             at += size
@@ -256,27 +279,34 @@ def _expand(group: pd.DataFrame, length: int) -> pd.DataFrame:
             elif least < smallest[number]:
                 smallest[number] = least
             own.append(number)
-        chunks.append((chunk, bucket, own, ids[:, 1]))
+        chunks.append((chunk, bucket, np.array(own), ids[:, 1]))
     segments = list(known)
     order, shares = open_places(segments, length)
     lengths = np.array([len(s) for s in segments], np.int64)
-    begins = np.r_[0, np.cumsum(lengths + 1)[:-1]]
     segment_of = np.repeat(np.arange(len(segments)), lengths + 1)
     groups = np.flatnonzero(~shares)
     low = np.minimum.reduceat(np.array(smallest, np.int64)[segment_of[order]], groups)
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(low, np.diff(np.r_[groups, len(order)]))
+    # Runs of strings of a segment with the same smallest id.
+    begins = np.r_[0, np.cumsum(lengths + 1)[:-1]]
+    offset = np.arange(len(least)) - np.repeat(begins, lengths + 1)
+    string = offset <= np.repeat(lengths, lengths + 1) - length
+    at = np.flatnonzero(string)
+    cut = np.flatnonzero(np.r_[True, (offset[at[1:]] == 0) | (least[at[1:]] != least[at[:-1]])])
+    lo, n_strings = offset[at[cut]], np.diff(np.r_[cut, len(at)])
+    run_least, run_segment = least[at[cut]], segment_of[at[cut]]
+    run_begin = np.searchsorted(run_segment, np.arange(len(segments) + 1))
     rows = []
-    for chunk, bucket, own, largest in chunks:
-        runs = []
-        for k, (number, most) in enumerate(zip(own, largest.tolist(), strict=True)):
-            begin = int(begins[number])
-            strings = least[begin:begin + int(lengths[number]) - length + 1]
-            if strings.min() < most:
-                cuts = [0, *(np.flatnonzero(strings[1:] != strings[:-1]) + 1).tolist(), len(strings)]
-                runs += [(k, lo, hi, int(strings[lo])) for lo, hi in zip(cuts, cuts[1:], strict=False) if strings[lo] < most]
-        if runs:
-            rows.append((chunk, bucket, np.array(runs, np.int64).tobytes()))
+    for chunk, bucket, own, most in chunks:
+        n_runs = run_begin[own + 1] - run_begin[own]
+        k = np.repeat(np.arange(len(own)), n_runs)
+        run = np.arange(len(k)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs) + run_begin[own][k]
+        lost = run_least[run] < most[k]
+        k, run = k[lost], run[lost]
+        if len(k):
+            places = np.stack([k, lo[run], lo[run] + n_strings[run]]).astype(np.int32)
+            rows.append((chunk, bucket, places.tobytes() + run_least[run].tobytes()))
     return pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
 
 
@@ -286,8 +316,10 @@ def _cut(group: pd.DataFrame, replies: pd.DataFrame, length: int, buckets: int)
     runs: dict[tuple[int, int], list] = {}
     for bucket, data in zip(replies["bucket"], replies["data"], strict=True):
         if bucket >= 0:
-            for k, lo, hi, least in np.frombuffer(data, np.int64).reshape(-1, 4).tolist():
-                runs.setdefault((bucket, k), []).append((lo, hi, least))
+            n = len(data) // 20
+            places, least = np.frombuffer(data, np.int32, 3 * n).reshape(3, n), np.frombuffer(data, np.int64, n, 12 * n)
+            for k, lo, hi, low in zip(*places.tolist(), least.tolist(), strict=True):
+                runs.setdefault((bucket, k), []).append((lo, hi, low))
     covered: dict[int, list[tuple[int, int]]] = {}
     for k, start, bucket, number in chunk.places:
         for lo, hi, least in runs.get((bucket, number), ()):
@@ -316,7 +348,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-total // BUCKET_BYTES))
-    chunk_bytes = min(max(CHUNK_BYTES, math.isqrt(64 * total)), CHUNK_MOST)
+    chunk_bytes = min(max(CHUNK_BYTES, math.isqrt(400 * total)), CHUNK_MOST)
     chunks = max(1, -(-total // chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
     by_chunk = rows.groupBy("chunk")
