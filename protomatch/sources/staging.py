@@ -33,11 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class SharedStage:
-    """Write each table below a folder of its own and read it back."""
+    """Write each table below a folder of its own and read it back.
+
+    The folder goes when it is discarded, or else when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.root = f"{root or shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+        path, files = self._path()
+        files.deleteOnExit(path)
 
     def __call__(self, table: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -47,6 +52,9 @@ class SharedStage:
 
     def discard(self) -> None:
         """Delete the staged tables once no plan reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._path()
+        files.delete(path, True)
+
+    def _path(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -25,7 +25,7 @@ from protomatch.operators.search import SearchSettings, search
 from protomatch.operators.select import select_hits
 from protomatch.plans import all_matches, classified_matches, classify, match_table, process_all, stack
 from protomatch.plans.workflow import is_kind
-from protomatch.sources import drop_header_lines, pairs_to_lines
+from protomatch.sources import drop_header_lines, pairs_to_lines, parse_cells, schemas
 from protomatch.sources.staging import SharedStage, Stage, lazily
 from protomatch_checks import fixtures
 
@@ -221,6 +221,16 @@ def length_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.length_class(genbank_targets(look.phage_names, look.phage_lengths))
 
 
+def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_cells(fixtures.derived(spark, sf_dir, fixtures.RAW_CELLS), schemas.HITS)
+
+
+def split_on_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target ids that hold hyphens of their own; only the last one starts the control tag."""
+    hits = fixtures.search_hits(spark, sf_dir).withColumn("target_id", F.concat(F.lit("virus-"), "target_id"))
+    return parse_ids(hits, "last")
+
+
 QUERIES: dict[str, Query] = {
     "q01_parse_ids": parse_ids_query,
     "q02_coerce_numeric": coerce_numeric,
@@ -255,4 +265,6 @@ QUERIES: dict[str, Query] = {
     "q31_profile_screen": profile_screen,
     "q32_genome_classification": genome_classification,
     "q33_length_partition": length_partition,
+    "q34_missing_cells": missing_cells,
+    "q35_split_on_last": split_on_last,
 }

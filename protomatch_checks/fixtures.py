@@ -151,6 +151,15 @@ PROFILES = ("shell", "tubulin")
 EMISSION = "(ascii(substr(md5(profile||cast(node as string)||residue),1,1))%16)*20000-150000"
 THRESHOLDS = {"shell": 120_000, "tubulin": 120_000}
 
+# The cells of a hit file as a scan gives them: text, some missing, some lines ended by CR LF.
+RAW_CELLS = f"""
+select case when position%11=0 then 'NA' when position%13=0 then '' else spacer_id end as spacer_id,
+  case when position%7=0 then 'NA' else target_id end as target_id, strand,
+  case when position%5=0 then 'NA' else {_text('position')} end as position, details, mismatches, gaps, alignment_seq,
+  case when position%3=0 then alignment_length||chr(13) else alignment_length end as alignment_length
+from ({SEARCH_HITS}) raw
+"""
+
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}

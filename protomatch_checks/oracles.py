@@ -49,6 +49,11 @@ coalesce(nullif(split_part(target_id,'-',2),''),'non-shuffled') as shuffled,
 strand, position, details, alignment_seq, system, target_database, run
 """
 
+_CELLS = (
+    "spacer_id", "target_id", "strand", "details", "mismatches", "gaps", "alignment_seq", "alignment_length",
+)
+_HEAD = "substr(target_id, 1, length(target_id) - length(split_part(target_id,'-',-1)) - 1)"
+
 _STEPS = {
     "parsed": f"select {_PARSE}, mismatches, gaps, alignment_length from hits",
     "parsed_numbers": f"select {_PARSE}, {_COERCED} from hits",
@@ -310,6 +315,12 @@ from keyed group by target_id
 union all select target_id||'-shuffled', seq from targets where length(seq) = 0""",
     "q31_profile_screen": f"{_SCREEN} select * from screened",
     "q32_genome_classification": _CLASSIFY,
+    "q34_missing_cells": f"""
+select {", ".join(f"nullif(nullif(rtrim({c}, chr(13)),'NA'),'') as {c}" for c in _CELLS)},
+  try_cast(nullif(position,'NA') as bigint) as position from ({duck(fixtures.RAW_CELLS)}) cells""",
+    "q35_split_on_last": _with(f"""
+select {_PARSE.replace("split_part(target_id,'-',1)", _HEAD).replace("split_part(target_id,'-',2)", "split_part(target_id,'-',-1)")},
+  mismatches, gaps, alignment_length from (select * replace ('virus-'||target_id as target_id) from hits) hits"""),
     "q33_length_partition": _with("""
 select *, case when target_length >= 150000 then '>150kb' when target_length < 150000 then '<150kb' end as size_class
 from genbank"""),
