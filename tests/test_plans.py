@@ -78,8 +78,12 @@ def test_first_rows_are_picked_before_the_shuffle(spark):
             df.select("gcf", "target_gca", "target_id", "score", "nucleoid_forming"))):
         plan = executed_plan(result)
         final = plan[:plan.find("Initial Plan")] if "Initial Plan" in plan else plan
-        partial, exchange = final.find("Partial"), final.find("WindowGroupLimit")
-        assert partial > 0 and exchange > 0
+        # From the top: the limit over whole groups, the exchange, and below it the limit within each task.
+        lines = final.splitlines()
+        whole = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Final" in x)
+        exchange = next(i for i, x in enumerate(lines) if i > whole and "Exchange hashpartitioning" in x)
+        partial = next(i for i, x in enumerate(lines) if i > whole and "WindowGroupLimit" in x and "Partial" in x)
+        assert whole < exchange < partial
 
 
 def test_score_table_reads_only_what_it_counts(spark, tmp_path):
