@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from protomatch.llm.chosen_path import DENOMINATOR, NUMERATOR, RUN_WORDS
 from protomatch.llm.licenses import BASE_PHRASES, BREAK, signature_rules
 from protomatch.llm.mixing import BLOCK_BYTES, EXPONENT, POINTS
+from protomatch.llm.suffix import LENGTH
 
 MIX = f"""
 with recursive docs as (
@@ -92,7 +94,63 @@ left join (select doc_id, max(confidence) as score from kept group by doc_id) k
 """
 
 
+SIMILAR = f"""
+with recursive words as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') as w from documents
+),
+runs as (
+  select distinct doc_id, array_to_string(w[i:i + {RUN_WORDS - 1}], ' ') as run
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {RUN_WORDS - 1}, 1) + 1)) as i from words where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from runs group by doc_id),
+shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from runs a join runs b on a.run = b.run and a.doc_id <> b.doc_id group by all
+),
+links as (
+  select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where {DENOMINATOR} * c >= {NUMERATOR} * (a.n + b.n - c)
+  union
+  select a.doc_id, b.doc_id from words a join words b on a.text = b.text and a.doc_id <> b.doc_id where len(a.w) = 0
+),
+reached(x, y) as (
+  select doc_id, doc_id from words
+  union
+  select r.x, l.y from reached r join links l on l.x = r.y
+)
+select x as doc_id, min(y) as class_id, (select count(*) from links l where l.x = r.x) as n_links from reached r group by x
+"""
+
+# Texts as hexadecimal digits, two per byte.
+REPEATS = f"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as digits from documents),
+pieces as (
+  select doc_id, p, substr(digits, 2000 * p + 1, {2 * (1000 + LENGTH - 1)}) as part
+  from (select doc_id, digits, unnest(range(0, len(digits) // 2000 + 1)) as p from texts)
+),
+strings as (
+  select doc_id, 1000 * p + j as i, substr(part, 2 * j + 1, {2 * LENGTH}) as string
+  from (select doc_id, p, part, unnest(range(0, least(1000, greatest(len(part) // 2 - {LENGTH - 1}, 0)))) as j from pieces)
+),
+firsts as (select string, min(doc_id) as first from strings group by string),
+lost as (select s.doc_id, s.i from strings s join firsts f using (string) where f.first < s.doc_id),
+marked as (select *, i > coalesce(lag(i) over (partition by doc_id order by i), -{LENGTH + 1}) + {LENGTH} as opens from lost),
+numbered as (select *, sum(opens::int) over (partition by doc_id order by i) as span from marked),
+spans as (select doc_id, span, min(i) as lo, max(i) + {LENGTH} as hi from numbered group by doc_id, span),
+kept as (
+  select doc_id, string_agg(substr(digits, 2 * coalesce(before, 0) + 1, 2 * (lo - coalesce(before, 0))), '' order by lo) as head
+  from (select s.doc_id, digits, lo, lag(hi) over (partition by s.doc_id order by lo) as before from spans s join texts using (doc_id))
+  group by doc_id
+),
+sums as (select doc_id, sum(hi - lo) as n_removed, count(*) as n_spans, max(hi) as last from spans group by doc_id)
+select t.doc_id, (len(digits) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(head, '') || substr(digits, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from texts t left join sums using (doc_id) left join kept using (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX,
+    "op3_suffix_dedup": REPEATS,
+    "op5_chosen_path": SIMILAR,
     "op7_license_scan": license_sql(),
 }
