@@ -86,20 +86,21 @@ class Lookups:
 
 
 def search_with_control(queries: DataFrame, targets: DataFrame, settings: SearchSettings = SearchSettings(),
-                        seed: int = 42) -> DataFrame:
+                        seed: int = 42, control_key: str = "xxhash64") -> DataFrame:
     """Search the targets and their shuffled control alike; ``run`` tells which a hit is from."""
     extent = query_extent(queries, settings)
-    runs = {REAL_RUN: targets, SHUFFLED_TAG: shuffle_sequences(targets, "target_id", seed)}
+    runs = {REAL_RUN: targets, SHUFFLED_TAG: shuffle_sequences(targets, "target_id", seed, control_key)}
     return stack([search(queries, t, settings, extent).withColumn("run", F.lit(run)) for run, t in runs.items()])
 
 
-def tagged_search(queries: DataFrame, targets: DataFrame, system: str, target_database: str,
-                  settings: SearchSettings = SearchSettings(), seed: int = 42) -> DataFrame:
+def tagged_search(queries: DataFrame, targets: DataFrame, system: str | Column, target_database: str | Column,
+                  settings: SearchSettings = SearchSettings(), seed: int = 42, control_key: str = "xxhash64") -> DataFrame:
     """Search with control, tagged with its system and database: rows as the analysis takes them.
 
-    Numbers are text, as in result files, so both sources can be stacked.
+    Tags are texts, or columns over the hits. Numbers are text, as in result
+    files, so both sources can be stacked.
     """
-    found = search_with_control(queries, targets, settings, seed)
+    found = search_with_control(queries, targets, settings, seed, control_key)
     return found.withColumns({
         **{c: F.col(c).cast("string") for c in NUMERIC_COLUMNS},
         "position": F.col("position").cast("bigint"), "system": F.lit(system), "target_database": F.lit(target_database),

@@ -224,6 +224,43 @@ def spacer_sequences(spark: SparkSession, sf_dir: str, reverse_some: bool = Fals
     ).select("spacer_id", seq.alias("seq"))
 
 
+# Lookups of a search of documents: names and lengths by document, nothing of the other kind of database.
+_DOC_GCA = "'C'||" + _text("doc_id%50")
+SEARCHED_LOOKUPS = {
+    "strains": "select 'GCF_000000001' as assembly, 'strain one' as strain from {documents} group by 1",
+    "names": f"select 'doc'||{_text('doc_id')} as target_id, {_DOC_GCA} as target_gca, 'phage' as phage from {{documents}}",
+    "lengths": f"select {_DOC_GCA} as target_gca, cast(100000+(doc_id%50)*5000 as bigint) as target_length from {{documents}} group by doc_id%50",
+    "metadata": f"""select 'doc'||{_text('doc_id')} as target_id, 'phage' as phage, {_DOC_GCA} as target_gca,
+  cast(1 as bigint) as target_length, cast(1 as double) as target_completeness from {{documents}} where false""",
+    "nucleoid_gb": f"""select {_DOC_GCA} as target_gca, 'NF' as nucleoid_forming, {_NUCLEOID_FACTS.format(n='(doc_id%50)')}
+from {{documents}} where doc_id%50 < 20 group by doc_id%50""",
+    "nucleoid_vr": f"""select 'doc'||{_text('doc_id')} as target_id, 'NF' as nucleoid_forming, {_NUCLEOID_FACTS.format(n='doc_id')}
+from {{documents}} where false""",
+}
+SEARCHED_DATABASE = "gb>150kb"
+# Both take the number of the passage a spacer comes from.
+SEARCHED_SYSTEM = "case {n}%3 when 0 then 'TypeIE' when 1 then 'TypeIF' else 'TypeIII' end"
+SEARCHED_HOST = "'GCF_'||lpad(cast({n} as string),9,'0')||'.1'"
+
+
+def searched_spacers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spacers under packed ids, with the passage and the piece they come from."""
+    parts = F.split("spacer_id", "_")
+    numbered = spacer_sequences(spark, sf_dir, reverse_some=True).select(
+        parts[1].cast("bigint").alias("n"), (parts[1].cast("bigint") * 100 + parts[2].cast("bigint")).alias("spacer"), "seq")
+    return numbered.select(
+        F.concat(F.expr(SEARCHED_HOST.format(n="n")), F.lit("-Cr1-Sp"), F.col("spacer").cast("string")).alias("spacer_id"),
+        "n", F.col("spacer").cast("string").alias("spacer"), "seq")
+
+
+def searched_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
+    look = {n: derived(spark, sf_dir, t) for n, t in SEARCHED_LOOKUPS.items()}
+    details = searched_spacers(spark, sf_dir).select(
+        F.expr(SEARCHED_HOST.format(n="n")).alias("gcf"), F.lit("1").alias("crispr"), F.col("seq").alias("spacer_seq"),
+        "spacer", F.expr(SEARCHED_SYSTEM.format(n="n")).alias("system"))
+    return Lookups(details, look["strains"], look["names"], look["lengths"], look["metadata"], look["nucleoid_gb"], look["nucleoid_vr"])
+
+
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a protein of the genome its conversation stands for."""
     turns = tables(spark, sf_dir, "conversations")["conversations"]

@@ -159,9 +159,9 @@ def _mentions(sql: str, name: str) -> bool:
     return re.search(rf"\b{name}\b", sql) is not None
 
 
-def _with(select: str) -> str:
-    """Prefix ``select`` with the steps it needs, in order."""
-    texts = {**{n: duck(t) for n, t in _FIXTURES.items()}, **_STEPS}
+def _with(select: str, inputs: dict[str, str] | None = None) -> str:
+    """Prefix ``select`` with the steps it needs, in order; ``inputs`` stand in for the fixtures."""
+    texts = {**{n: duck(t) for n, t in _FIXTURES.items()}, **(inputs or {}), **_STEPS}
     needed: set[str] = set()
     waiting = [select]
     while waiting:
@@ -174,7 +174,7 @@ def _with(select: str) -> str:
     return f"with {steps}\n{select}"
 
 
-def _score_table(where: str = "true") -> str:
+def _score_table(where: str = "true", inputs: dict[str, str] | None = None) -> str:
     cells = ", ".join(
         f"sum(n) filter (system = '{s}' and shuffled = '{r}') as \"{s}_{r}\""
         for s in ("TypeIE", "TypeIF", "TypeIII") for r in ("non-shuffled", "shuffled")
@@ -183,25 +183,30 @@ def _score_table(where: str = "true") -> str:
 select score, {cells} from (
   select system, shuffled, case when score <= 18 then 18.0::double else score end as score, count(*)::bigint as n
   from unique_hits where {where} group by all)
-group by score order by score""")
+group by score order by score""", inputs)
 
 
 _DOC_BASES = fixtures.BASES_OF_TEXT.format(g=",'g'")
 _TARGETS = f"select 'doc'||cast(doc_id as varchar) as target_id, {_DOC_BASES} as seq from documents"
 
 
-def _search(both: bool) -> str:
+def _spacers(both: bool) -> str:
     turned = "when k%3=2 then reverse(translate(seq,'ACGT','TGCA'))" if both else ""
-    reverse = "union all select spacer_id, reverse(translate(seq,'ACGT','TGCA')) as seq, '-' as strand from spacers"
     return f"""
-with targets as materialized ({_TARGETS}),
 items as (select item_id, {_DOC_BASES} as seq from benchmark),
 counted as (select item_id, seq, greatest(1, length(seq)//32) as pieces from items),
 cut as (select item_id, k, substr(seq, k*32+1, case when k = pieces-1 then 64 else 32 end) as seq
         from (select *, unnest(range(0, pieces)) as k from counted)),
 spacers as materialized (
   select concat_ws('_','item',item_id,k) as spacer_id,
-    case when k%3=1 then substr(seq,1,9)||'A'||substr(seq,11) {turned} else seq end as seq from cut),
+    case when k%3=1 then substr(seq,1,9)||'A'||substr(seq,11) {turned} else seq end as seq from cut)"""
+
+
+def _search(both: bool, targets: str = _TARGETS) -> str:
+    reverse = "union all select spacer_id, reverse(translate(seq,'ACGT','TGCA')) as seq, '-' as strand from spacers"
+    return f"""
+with targets as materialized ({targets}),
+{_spacers(both)},
 stranded as materialized (select spacer_id, seq, '+' as strand from spacers {reverse if both else ''}),
 seeds as (select *, substr(seq, o, 7) as word
           from (select *, unnest(range(1, length(seq)-5)) as o from stranded where length(seq) >= 7)),
@@ -219,6 +224,31 @@ select spacer_id, target_id, strand, cast(position as bigint) as position,
 from aligned where hamming(spacer, alignment_seq)*100 <= 20*length(spacer)"""
 
 
+_CONTROL = f"""
+with targets as ({_TARGETS}),
+letters as (select target_id, seq, unnest(range(1, length(seq)+1)) as place from targets where length(seq) > 0),
+keyed as (select target_id, place, md5('42/'||target_id||'/'||cast(place as varchar)) as key, seq[place] as letter
+          from letters)
+select target_id||'-shuffled' as target_id, string_agg(letter, '' order by key, place) as seq
+from keyed group by target_id
+union all select target_id||'-shuffled', seq from targets where length(seq) = 0"""
+
+# Inputs of the analysis that come from the search and not from a result file.
+_N = "cast(split_part(spacer_id,'_',2) as bigint)"
+_SP = f"cast({_N}*100+cast(split_part(spacer_id,'_',3) as bigint) as varchar)"
+_HOST_OF, _SYSTEM_OF = fixtures.SEARCHED_HOST.format(n=_N), fixtures.SEARCHED_SYSTEM.format(n=_N)
+_SEARCHED = {
+    "hits": f"""
+select * replace ({_HOST_OF}||'-Cr1-Sp'||{_SP} as spacer_id, cast(mismatches as varchar) as mismatches, cast(gaps as varchar) as gaps,
+    cast(alignment_length as varchar) as alignment_length),
+  {_SYSTEM_OF} as system, '{fixtures.SEARCHED_DATABASE}' as target_database
+from (select *, 'non-shuffled' as run from ({_search(True)}) union all select *, 'shuffled' as run from ({_search(True, _CONTROL)}))""",
+    "details": f"""
+with {_spacers(True)}
+select {_HOST_OF} as gcf, '1' as crispr, seq as spacer_seq, {_SP} as spacer, {_SYSTEM_OF} as system from spacers""",
+    **{n: duck(t) for n, t in fixtures.SEARCHED_LOOKUPS.items()},
+}
+
 _PROTEINS = """
 select concat_ws('.', conv_id, turn, role) as protein_id, conv_id as genome_id,
   upper(regexp_replace(text,'[^A-Za-z]','','g')) as seq from conversations"""
@@ -305,14 +335,8 @@ select count(*) as total_host_target_relationships, count(distinct coalesce(gcf,
 from representatives"""),
     "q28_seed_search": _search(False),
     "q29_seed_search_both_strands": _search(True),
-    "q30_shuffled_control": f"""
-with targets as ({_TARGETS}),
-letters as (select target_id, seq, unnest(range(1, length(seq)+1)) as place from targets where length(seq) > 0),
-keyed as (select target_id, place, md5('42/'||target_id||'/'||cast(place as varchar)) as key, seq[place] as letter
-          from letters)
-select target_id||'-shuffled' as target_id, string_agg(letter, '' order by key, place) as seq
-from keyed group by target_id
-union all select target_id||'-shuffled', seq from targets where length(seq) = 0""",
+    "q30_shuffled_control": _CONTROL,
+    "q36_search_to_score_table": _score_table(inputs=_SEARCHED),
     "q31_profile_screen": f"{_SCREEN} select * from screened",
     "q32_genome_classification": _CLASSIFY,
     "q34_missing_cells": f"""
