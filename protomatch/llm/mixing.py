@@ -41,16 +41,20 @@ def _name(source: Column) -> Column:
     return F.when(source.isNull(), "none").otherwise(F.concat(F.lit("source "), source.cast("string")))
 
 
-def _text_bytes(text: str) -> Column:
-    return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+def _sizes(text_col: str, size_col: str | None) -> Column:
+    """Bytes of the text, or the caller's own sizes; missing ones are 0."""
+    size = F.octet_length(F.col(text_col)) if size_col is None else F.col(size_col)
+    return F.coalesce(size, F.lit(0)).cast("long")
 
 
-def tempered_shares(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", exponent: float = EXPONENT, points: int = POINTS) -> DataFrame:
+def tempered_shares(
+    docs: DataFrame, *, source_col: str = "source", text_col: str = "text", size_col: str | None = None, exponent: float = EXPONENT, points: int = POINTS,
+) -> DataFrame:
     """Shares in proportion to bytes raised to ``exponent``, about ``points`` in all and at least 1 each.
 
     An exponent below 1 raises small sources. One row per source: ``mix_source``, ``share``.
     """
-    sizes = docs.groupBy(_name(F.col(source_col)).alias("mix_source")).agg(F.sum(_text_bytes(text_col)).alias("bytes"))
+    sizes = docs.groupBy(_name(F.col(source_col)).alias("mix_source")).agg(F.sum(_sizes(text_col, size_col)).alias("bytes"))
     total = F.pow(F.col("bytes").cast("double"), F.lit(exponent))
     whole = sizes.agg(F.sum(total).alias("whole"))
     share = F.greatest(F.lit(1), F.round(F.lit(float(points)) * total / F.greatest(F.col("whole"), F.lit(1.0))).cast("int"))
@@ -100,22 +104,25 @@ def period(shares: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, shares: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, shares: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``mix_slot``, ``mix_block`` and ``mix_copy``; a document has a row per copy. ``shares`` must name every source."""
+    """``docs`` with ``mix_slot``, ``mix_block`` and ``mix_copy``; a document has a row per copy. ``shares`` must name every source.
+
+    A table that has sizes (``size_col``) needs no texts: a schedule is then made without moving any.
+    """
     clash = {c.lower() for c in docs.columns} & set(ADDED)
     if clash:
         raise ValueError(f"columns of the mix are already there: {sorted(clash)}")
     plan = period(shares)
     # Own columns travel in one struct, so no name of the caller's can meet one used here.
     rows = docs.select(
-        F.struct("*").alias("row_"), _name(F.col(source_col)).alias("mix_source"), _text_bytes(text_col).alias("size_"),
+        F.struct("*").alias("row_"), _name(F.col(source_col)).alias("mix_source"), _sizes(text_col, size_col).alias("size_"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key_"), F.col(id_col).alias("id_"),
     )
     rows = with_running(rows, ["mix_source"], "key_", ["id_", "size_"], "size_")
     n_blocks = F.greatest(F.ceil(F.col("group_size") / F.lit(block_bytes)), F.lit(1)).cast("long")
     block = F.least(F.floor(F.col("before") / F.lit(block_bytes)).cast("long"), F.col("blocks_") - 1)
-    totals = docs.groupBy(_name(F.col(source_col)).alias("mix_source")).agg(F.sum(_text_bytes(text_col)).alias("group_size"))
+    totals = docs.groupBy(_name(F.col(source_col)).alias("mix_source")).agg(F.sum(_sizes(text_col, size_col)).alias("group_size"))
     totals = totals.select("mix_source", n_blocks.alias("blocks_"))
     per_source = plan.select("mix_source", "share", "total").distinct()
     place = lambda j: (F.floor(j / F.col("share")) * F.col("total")).cast("long")

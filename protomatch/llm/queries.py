@@ -29,8 +29,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    mixed = mix_sources(docs, tempered_shares(docs))
+    docs = _documents(spark, sf_dir).select("doc_id", "source", F.octet_length("text").alias("n_bytes"))
+    mixed = mix_sources(docs, tempered_shares(docs, size_col="n_bytes"), size_col="n_bytes")
     return mixed.select("doc_id", "source", "mix_slot", "mix_block", "mix_copy")
 
 

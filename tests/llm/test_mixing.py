@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from protomatch.llm.mixing import given_shares, mix_sources, period, tempered_shares
 from tests.llm.helpers import documents, odd_rows, rows_of
@@ -48,6 +49,9 @@ def test_odd_rows_clashing_columns_and_empty_tables(spark):
     docs = documents(spark, odd_rows(), clashes=True)
     mixed = mix_sources(docs, tempered_shares(docs))
     assert mixed.columns == [*docs.columns, "mix_slot", "mix_block", "mix_copy"]
+    sized = docs.select("doc_id", "text", "source", F.octet_length("text").alias("n"))
+    by_size = mix_sources(sized, tempered_shares(sized, size_col="n"), size_col="n")
+    assert rows_of(by_size, "doc_id", "mix_slot", "mix_copy") == rows_of(mixed, "doc_id", "mix_slot", "mix_copy")
     once = mixed.where("mix_copy = 0").select("doc_id", "text", "source")
     assert rows_of(once) == rows_of(docs, "doc_id", "text", "source")
     empty = documents(spark, [])
