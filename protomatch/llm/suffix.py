@@ -45,6 +45,8 @@ LENGTH, ANCHOR = 50, 20
 BUCKET_BYTES = 4 << 20
 CHUNK_BYTES, CHUNK_MOST = 256 << 10, 32 << 20
 KEY_BITS = 39
+# Parts of a bucket that are sorted one after the other: small arrays stay in the cache.
+PARTS, PART_BYTES = 16, 192 << 10
 HOT = 20_000
 # Symbols of nine bits in a key of 64; the expansion starts from prefixes of that many.
 KEY_SYMBOLS = 7
@@ -150,20 +152,23 @@ class _Chunk:
             keys = _keys(digest, buckets)
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             found = known[at] == keys
-            bucket_of = (keys[found] >> np.uint64(KEY_BITS)).tolist()
-            for lo, hi, bucket, single in zip(first[found].tolist(), past[found].tolist(), bucket_of, hot[at[found]].tolist(), strict=True):
+            bucket_of, part_of = (keys[found] >> np.uint64(KEY_BITS)).tolist(), (keys[found] % np.uint64(PARTS)).tolist()
+            for lo, hi, bucket, part, single in zip(
+                first[found].tolist(), past[found].tolist(), bucket_of, part_of, hot[at[found]].tolist(), strict=True,
+            ):
                 if single:
                     for s in range(lo, hi):
                         string = data[s:s + length]
-                        self._add(k, place, s, string, xxhash.xxh64_intdigest(string) % buckets)
+                        digest = xxhash.xxh64_intdigest(string)
+                        self._add(k, place, s, string, digest % buckets, digest // buckets % PARTS)
                 else:
-                    self._add(k, place, lo, data[lo:hi + length - 1], bucket)
+                    self._add(k, place, lo, data[lo:hi + length - 1], bucket, part)
 
-    def _add(self, k: int, place: int, start: int, segment: bytes, bucket: int) -> None:
+    def _add(self, k: int, place: int, start: int, segment: bytes, bucket: int, part: int) -> None:
         held = self.segments.setdefault(bucket, {})
         entry = held.get(segment)
         if entry is None:
-            entry = held[segment] = [len(held), place, place]
+            entry = held[segment] = [len(held), place, place, part]
         elif place > entry[2]:  # Texts come in the order of their ids.
             entry[2] = place
         self.places.append((k, start, bucket, entry[0]))
@@ -262,40 +267,54 @@ def open_places(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return order, shares
 
 
+def _runs(segments: list[bytes], smallest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings with the same smallest id: segment, first string in it, number of strings, id."""
+    order, shares = open_places(segments, length)
+    lengths = np.array([len(s) for s in segments], np.int64)
+    segment_of = np.repeat(np.arange(len(segments)), lengths + 1)
+    groups = np.flatnonzero(~shares)
+    low = np.minimum.reduceat(smallest[segment_of[order]], groups)
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(low, np.diff(np.r_[groups, len(order)]))
+    begins = np.r_[0, np.cumsum(lengths + 1)[:-1]]
+    offset = np.arange(len(least)) - np.repeat(begins, lengths + 1)
+    at = np.flatnonzero(offset <= np.repeat(lengths, lengths + 1) - length)
+    cut = np.flatnonzero(np.r_[True, (offset[at[1:]] == 0) | (least[at[1:]] != least[at[:-1]])])
+    return segment_of[at[cut]], offset[at[cut]], np.diff(np.r_[cut, len(at)]), least[at[cut]]
+
+
 def _expand(group: pd.DataFrame, length: int) -> pd.DataFrame:
     """For each chunk and its segments: runs of strings that start in a smaller document, with the smallest id."""
     known: dict[bytes, int] = {}
     smallest: list[int] = []
+    parts: list[int] = []
     chunks, unpack = [], zstandard.ZstdDecompressor().decompress
     for chunk, bucket, lengths, data, ids in zip(group["chunk"], group["bucket"], group["lengths"], group["data"], group["ids"], strict=True):
         data, at, own = unpack(data), 0, []
-        sizes, ids = np.frombuffer(lengths, np.int32), np.frombuffer(ids, np.int64).reshape(-1, 2)
-        for size, least in zip(sizes.tolist(), ids[:, 0].tolist(), strict=True):
+        sizes, ids = np.frombuffer(lengths, np.int32), np.frombuffer(ids, np.int64).reshape(-1, 3)
+        for size, least, part in zip(sizes.tolist(), ids[:, 0].tolist(), ids[:, 2].tolist(), strict=True):
             segment = data[at:at + size]
             at += size
             number = known.setdefault(segment, len(known))
             if number == len(smallest):
                 smallest.append(least)
+                parts.append(part)
             elif least < smallest[number]:
                 smallest[number] = least
             own.append(number)
         chunks.append((chunk, bucket, np.array(own), ids[:, 1]))
-    segments = list(known)
-    order, shares = open_places(segments, length)
-    lengths = np.array([len(s) for s in segments], np.int64)
-    segment_of = np.repeat(np.arange(len(segments)), lengths + 1)
-    groups = np.flatnonzero(~shares)
-    low = np.minimum.reduceat(np.array(smallest, np.int64)[segment_of[order]], groups)
-    least = np.empty(len(order), np.int64)
-    least[order] = np.repeat(low, np.diff(np.r_[groups, len(order)]))
-    # Runs of strings of a segment with the same smallest id.
-    begins = np.r_[0, np.cumsum(lengths + 1)[:-1]]
-    offset = np.arange(len(least)) - np.repeat(begins, lengths + 1)
-    string = offset <= np.repeat(lengths, lengths + 1) - length
-    at = np.flatnonzero(string)
-    cut = np.flatnonzero(np.r_[True, (offset[at[1:]] == 0) | (least[at[1:]] != least[at[:-1]])])
-    lo, n_strings = offset[at[cut]], np.diff(np.r_[cut, len(at)])
-    run_least, run_segment = least[at[cut]], segment_of[at[cut]]
+    segments, least_of, part_of, runs = list(known), np.array(smallest, np.int64), np.array(parts), []
+    n_parts = 1
+    while n_parts < PARTS and sum(map(len, segments)) > 2 * n_parts * PART_BYTES:
+        n_parts *= 2
+    for part in range(n_parts):
+        members = np.flatnonzero(part_of % n_parts == part)
+        if len(members):
+            number, *found = _runs([segments[k] for k in members.tolist()], least_of[members], length)
+            runs.append((members[number], *found))
+    run_segment, lo, n_strings, run_least = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(run_segment, kind="stable")
+    run_segment, lo, n_strings, run_least = run_segment[order], lo[order], n_strings[order], run_least[order]
     run_begin = np.searchsorted(run_segment, np.arange(len(segments) + 1))
     rows = []
     for chunk, bucket, own, most in chunks:

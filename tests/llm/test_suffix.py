@@ -73,6 +73,7 @@ def test_hot_anchors_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK_BYTES", 512)
     monkeypatch.setattr(suffix, "CHUNK_MOST", 512)
     monkeypatch.setattr(suffix, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(suffix, "PART_BYTES", 100)
     frame = documents(spark, [(i, t, None, None, None) for i, t in rows])
     assert found(remove_repeats(frame)) == brute(rows)
 
