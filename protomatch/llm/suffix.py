@@ -67,11 +67,11 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         return none, none, np.zeros(0, np.uint64)
     h, width = np.frombuffer(data, np.uint8).astype(np.uint64), 1
     while width * 2 <= ANCHOR:
-        h = _mix(h[:-width] * np.uint64(pow(ODD, width, 2**64)) + h[width:])
+        h = h[:-width] * np.uint64(pow(ODD, width, 2**64)) + h[width:]
         width *= 2
     if width < ANCHOR:
-        h = _mix(h[:len(h) - (ANCHOR - width)] * np.uint64(ODD) + h[ANCHOR - width:])
-    h = h >> np.uint64(1)
+        h = h[:len(h) - (ANCHOR - width)] * np.uint64(pow(ODD, ANCHOR, 2**64)) + h[ANCHOR - width:]
+    h = _mix(h) >> np.uint64(1)
     window, low, span = length - ANCHOR + 1, h, 1
     while span * 2 <= window:
         low, span = np.minimum(low[:-span], low[span:]), span * 2
