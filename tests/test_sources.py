@@ -123,7 +123,7 @@ def test_length_classes_are_directories(spark, tmp_path):
 
 def test_spacers_in_several_tokens_are_put_together(spark, tmp_path):
     path = written(tmp_path, "p3", ">a ACGT GGTT\tac\n>b\n")
-    assert rows_of(read_spacer_pairs(spark, path)) == [(None, "b"), ("ACGTGGTTAC", "a")]
+    assert rows_of(read_spacer_pairs(spark, path)) == [("ACGTGGTTAC", "a"), (None, "b")]
 
 
 def test_pairs_become_lines_and_sequences(spark, tmp_path):
