@@ -9,9 +9,9 @@ Texts of any length are read whole, in pieces of bounded size.
 
 The network is fitted on the driver on at most ``FIT_DOCUMENTS`` labelled documents
 (a bounded sample, chosen by a digest of the id, with equally many of each label
-where there are enough); longer training texts are read as windows of ``FIT_BYTES``
-bytes spread over the whole text. Scoring covers all documents and is map-only; the
-weights are broadcast and have a fixed size.
+where there are enough); training texts are read whole and in the same pieces as in
+scoring. Scoring covers all documents and is map-only; the weights are broadcast and
+have a fixed size.
 
 Defined cases: a null text is an empty one; an empty text is one chunk of padding and
 gets a score like any other; repeated rows are scored one by one; other columns are
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, STEP, FILTERS = 8, 4, 16
-FIT_DOCUMENTS, FIT_BYTES, EPOCHS, RATE, SEED = 1500, 2048, 10, 0.01, 7
+FIT_DOCUMENTS, EPOCHS, RATE, SEED = 1500, 10, 0.01, 7
 PAD = 256
 PIECE = 1 << 16
 
@@ -53,13 +53,11 @@ def _chunks(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[::STEP]
 
 
-def _windows(data: np.ndarray) -> np.ndarray:
-    """At most FIT_BYTES of a training text, as pieces spread evenly over all of it."""
-    if len(data) <= FIT_BYTES:
-        return data
-    pieces = FIT_BYTES // 256
-    starts = np.linspace(0, len(data) - 256, pieces).astype(int)
-    return np.concatenate([data[s:s + 256] for s in starts])
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """The chunks of a whole text in pieces of bounded size; pieces overlap, so that none is missed or read twice."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    for start in range(0, max(len(data) - WIDTH + STEP, 1), PIECE):
+        yield _chunks(data[start:start + PIECE + WIDTH - STEP])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -76,10 +74,9 @@ def _layer(net: Network, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def score_text(net: Network, text: str) -> float:
     """Probability of label 1; the text is read in pieces that overlap, and pooled over all of them."""
-    data = np.frombuffer(text.encode(), np.uint8)
     most, least, total, n = np.full(FILTERS, -np.inf), np.full(FILTERS, np.inf), np.zeros(FILTERS), 0
-    for start in range(0, max(len(data) - WIDTH + STEP, 1), PIECE):
-        value, gate = _layer(net, _chunks(data[start:start + PIECE + WIDTH - STEP]))
+    for chunks in _pieces(text):
+        value, gate = _layer(net, chunks)
         h = value * gate
         most, least = np.maximum(most, h.max(0)), np.minimum(least, h.min(0))
         total, n = total + h.sum(0), n + len(h)
@@ -87,6 +84,47 @@ def score_text(net: Network, text: str) -> float:
     return float(_sigmoid(pooled @ net.out + net.out_bias)[0])
 
 
+def _add_by_byte(into: np.ndarray, values: np.ndarray, d: np.ndarray) -> None:
+    """Adds the rows of ``d`` to the rows of ``into`` that ``values`` name."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    into[ordered[first]] += np.add.reduceat(d[order], first, axis=0)
+
+
+def _add_gradient(net: Network, text: str, label: float, g: dict[str, np.ndarray]) -> None:
+    """Adds the gradient of one whole text: the pieces are pooled first, then each gives its part."""
+    f = np.arange(FILTERS)
+    most, least, total, n = np.full(FILTERS, -np.inf, np.float32), np.full(FILTERS, np.inf, np.float32), np.zeros(FILTERS), 0
+    top, low, last = np.zeros((2, FILTERS), int), np.zeros((2, FILTERS), int), None
+    for k, chunks in enumerate(_pieces(text)):
+        value, gate = _layer(net, chunks)
+        h = value * gate
+        at = h.argmax(0)
+        more = h[at, f] > most
+        most[more], top[0, more], top[1, more] = h[at, f][more], k, at[more]
+        at = h.argmin(0)
+        less = h[at, f] < least
+        least[less], low[0, less], low[1, less] = h[at, f][less], k, at[less]
+        total, n, last = total + h.sum(0), n + len(h), (chunks, value, gate)
+    pooled = np.concatenate([most, total / n, -least]).astype(np.float32)
+    error = float(_sigmoid(pooled @ net.out + net.out_bias)[0]) - label
+    g["out"] += error * pooled
+    g["out_bias"] += error
+    back, pieces = np.float32(error) * net.out, k + 1
+    for k, chunks in enumerate(_pieces(text) if pieces > 1 else [last[0]]):
+        value, gate = _layer(net, chunks) if pieces > 1 else last[1:]
+        dh = np.tile(back[FILTERS:2 * FILTERS] / np.float32(n), (len(chunks), 1))
+        here = top[0] == k
+        dh[top[1, here], f[here]] += back[:FILTERS][here]
+        here = low[0] == k
+        dh[low[1, here], f[here]] -= back[2 * FILTERS:][here]
+        d = np.concatenate([dh * gate, dh * value * gate * (1 - gate)], axis=1)
+        g["bias"] += d.sum(0)
+        for w in range(WIDTH):
+            _add_by_byte(g["weights"][w], chunks[:, w], d)
+
+
 def fit(texts: list[str], labels: list[int]) -> Network:
     """Adam on single documents in small batches; the same input gives the same network."""
     rng = np.random.default_rng(SEED)
@@ -100,34 +138,16 @@ def fit(texts: list[str], labels: list[int]) -> Network:
         p["out"][:] = 0
         p["out_bias"][:] = {(): 0.0, (0,): -30.0, (1,): 30.0}[tuple(known)]
         return Network(**p)
-    data = [_chunks(_windows(np.frombuffer(t.encode(), np.uint8))) for t in texts]
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     y = np.array(labels, float)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS) + 1e-4
-        order = rng.permutation(len(data))
+        order = rng.permutation(len(texts))
         for batch in np.array_split(order, max(1, len(order) // 16)):
             g = {k: np.zeros_like(x) for k, x in p.items()}
             net = Network(**p)
             for i in batch:
-                chunks = data[i]
-                value, gate = _layer(net, chunks)
-                h = value * gate
-                top, low, f = h.argmax(0), h.argmin(0), np.arange(FILTERS)
-                pooled = np.concatenate([h[top, f], h.mean(0), -h[low, f]])
-                error = float(_sigmoid(pooled @ p["out"] + p["out_bias"])[0]) - y[i]
-                g["out"] += error * pooled
-                g["out_bias"] += error
-                back = np.float32(error) * p["out"]
-                dh = np.tile(back[FILTERS:2 * FILTERS] / len(h), (len(h), 1))
-                dh[top, f] += back[:FILTERS]
-                dh[low, f] -= back[2 * FILTERS:]
-                d = np.concatenate([dh * gate, dh * value * gate * (1 - gate)], axis=1)
-                g["bias"] += d.sum(0)
-                for k in range(WIDTH):
-                    one_hot = np.zeros((PAD + 1, len(chunks)), np.float32)
-                    one_hot[chunks[:, k], np.arange(len(chunks))] = 1
-                    g["weights"][k] += one_hot @ d
+                _add_gradient(net, texts[i], y[i], g)
             t += 1
             for k in p:
                 step = g[k] / len(batch)

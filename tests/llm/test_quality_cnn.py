@@ -48,3 +48,32 @@ def test_odd_rows_labels_and_empty_tables(spark, network):
     assert score_text(one, "anything") > 0.99
     assert score_text(fit_on(docs, labels.limit(0)), "anything") == 0.5
     assert score_documents(documents(spark, []), network).count() == 0
+
+
+def long_texts(rng, n):
+    """Texts of some 6 to 20 kB; those of label 0 hold a few marks, all in one short passage somewhere."""
+    data = []
+    for k in range(n):
+        words = prose(rng, rng.randint(1000, 3000)).split()
+        at = rng.randrange(len(words) - 5)
+        if k % 2 == 0:
+            words[at:at + 5] = [w + "$$$" for w in words[at:at + 5]]
+        data.append((" ".join(words), k % 2))
+    return data
+
+
+def test_held_out_long_texts_are_fitted_and_scored_whole():
+    train, held_out = long_texts(random.Random(4), 200), long_texts(random.Random(5), 100)
+    net = fit([t for t, _ in train], [y for _, y in train])
+    assert sum((score_text(net, t) >= 0.5) == y for t, y in held_out) >= 90
+
+
+def test_gradient_does_not_depend_on_the_pieces(network, monkeypatch):
+    text, found = prose(random.Random(6), 2000), []
+    for piece in (1 << 16, 1024):
+        monkeypatch.setattr(quality_cnn, "PIECE", piece)
+        g = {k: np.zeros_like(getattr(network, k)) for k in ("weights", "bias", "out", "out_bias")}
+        quality_cnn._add_gradient(network, text, 1.0, g)
+        found.append(g)
+    for k in found[0]:
+        assert np.allclose(found[0][k], found[1][k], atol=1e-4)
