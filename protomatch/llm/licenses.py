@@ -1,9 +1,12 @@
 """License scan with ordered signature rules, built-in SQL functions only.
 
 Texts are reduced to words (A-Z lower-cased; runs of digits, a-z and non-ASCII
-characters). A rule is a regular expression over a fixed number of words, with a
-keyword that must occur for the expression to be tried at all, a priority and a
-confidence. Every place of a rule is a detection, an interval of words. A
+characters). A rule is a regular expression over words, with a keyword that must
+occur for the expression to be tried at all, a priority and a confidence: names after
+fixed leads (``signature_rules``, a fixed number of words each), and expressions with
+optional words, versions and bounded gaps for SPDX ids, short names and the texts of
+common licenses (``expression_rules``). Every place of a rule is a detection, an
+interval of words; an expression takes as many as it matches. A
 detection that lies inside another one is suppressed; of two equal intervals the
 rule of higher priority stays. Partly overlapping detections both stay.
 
@@ -90,14 +93,82 @@ LEADS = (
     ("", 3, 0.75),
 )
 
+# After a version, in place of "@later".
+LATER = "(?: only| or later| or at your option any later version| or any later version)?"
+# Lead of an id.
+TAG = "spdx license identifier"
+
+
+def _version(major: int, minor: str = "0") -> str:
+    """A version as it is written after a name: 2, 2 0, v2, v 2 0, version 2 0."""
+    return f"(?:(?:version |v |v|ver )?{major}(?: {minor})?)"
+
+
+# Ids as SPDX writes them: label, expression over the words of the id.
+IDS = (
+    ("agpl-3.0", f"agpl {_version(3)}(?: only| or later)?"),
+    ("lgpl-2.1", f"lgpl {_version(2, '1')}(?: only| or later)?"),
+    ("lgpl-3.0", f"lgpl {_version(3)}(?: only| or later)?"),
+    ("gpl-2.0", f"gpl {_version(2)}(?: only| or later)?(?: with [^ ]+ exception(?: [0-9] [0-9])?)?"),
+    ("gpl-3.0", f"gpl {_version(3)}(?: only| or later)?(?: with [^ ]+ exception(?: [0-9] [0-9])?)?"),
+    ("gfdl", "gfdl 1 [1-3](?: only| or later)?"),
+    ("apache-1.1", "apache 1 1"), ("apache-2.0", f"apache {_version(2)}(?: with llvm exception)?"),
+    ("mit-0", "mit 0"), ("mit", "mit"), ("0bsd", "0bsd"),
+    ("bsd-2-clause", "bsd 2 clause(?: patent| views)?"), ("bsd-3-clause", "bsd 3 clause(?: clear| lbnl| attribution)?"), ("bsd-4-clause", "bsd 4 clause"),
+    ("mpl-1.1", "mpl 1 1"), ("mpl-2.0", "mpl 2 0(?: no copyleft exception)?"), ("epl-1.0", "epl 1 0"), ("epl-2.0", "epl 2 0"),
+    ("cddl", "cddl 1 [01]"), ("eupl", "eupl 1 [0-2]"), ("isc", "isc"), ("zlib", "zlib"), ("artistic-2.0", "artistic 2 0"), ("artistic", "artistic 1 0(?: perl)?"),
+    ("boost-1.0", "bsl 1 0"), ("python-2.0", "(?:psf|python) 2 0"), ("odbl-1.0", "odbl 1 0"), ("ofl-1.1", "ofl 1 1(?: rfn| no rfn)?"),
+    ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("cc0", "cc0(?: 1 0)?"),
+    ("cc-by", "cc by [1-4] [05]"), ("cc-by-sa", "cc by sa [1-4] [05]"), ("cc-by-nc", "cc by nc [1-4] [05]"), ("cc-by-nd", "cc by nd [1-4] [05]"),
+    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]"), ("cc-by-nc-nd", "cc by nc nd [1-4] [05]"),
+)
+
+# Short names in prose and forms with optional words: label, expression, keyword, confidence.
+PROSE = (
+    ("agpl-3.0", f"(?:gnu )?(?:agpl ?{_version(3)}|affero (?:general public license|gpl) {_version(3)})@later", "", 0.85),
+    ("lgpl-2.1", f"(?:gnu )?(?:lgpl ?{_version(2, '1')}|lesser (?:general public license|gpl) {_version(2, '1')})@later", "", 0.85),
+    ("lgpl-3.0", f"(?:gnu )?(?:lgpl ?{_version(3)}|lesser (?:general public license|gpl) {_version(3)})@later", "", 0.85),
+    ("lgpl", "(?:gnu )?lgpl", "lgpl", 0.75), ("agpl-3.0", "gnu agpl", "agpl", 0.75),
+    ("gpl-2.0", f"(?:gnu )?(?:gpl ?{_version(2)})@later", "gpl", 0.85),
+    ("gpl-3.0", f"(?:gnu )?(?:gpl ?{_version(3)})@later", "gpl", 0.85),
+    ("gpl-2.0", "gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version |v)2(?: 0)?(?: of the license)?@later", "general", 0.9),
+    ("gpl-3.0", "gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version |v)3(?: 0)?(?: of the license)?@later", "general", 0.9),
+    ("lgpl-2.1", "gnu lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version |v)2 1(?: of the license)?@later", "lesser", 0.9),
+    ("lgpl-3.0", "gnu lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version |v)3(?: 0)?(?: of the license)?@later", "lesser", 0.9),
+    ("agpl-3.0", "gnu affero general public license(?: as published by the free software foundation)?(?: either)? (?:version |v)3(?: 0)?(?: of the license)?@later", "affero", 0.9),
+    ("apache-2.0", "apache (?:software )?license (?:version |v)2(?: 0)?", "apache", 0.9), ("apache-2.0", "apache v?2(?: 0)? licen[cs]ed?", "apache", 0.85),
+    ("bsd-2-clause", "(?:2|two) clause bsd(?: licen[cs]e)?", "clause", 0.85), ("bsd-3-clause", "(?:3|three) clause bsd(?: licen[cs]e)?", "clause", 0.85),
+    ("mpl-2.0", "mpl ?(?:version |v)?2(?: 0)?", "mpl", 0.85), ("mpl-2.0", "mozilla public license (?:version |v)2(?: 0)?", "mozilla", 0.9),
+    ("epl-2.0", "eclipse public license (?:version |v) ?2 0", "eclipse", 0.9), ("boost-1.0", "boost software license (?:version |v)?1 0", "boost", 0.9),
+    ("ofl-1.1", "sil open font license (?:version |v)?1 1", "font", 0.9), ("unlicense", "(?:the )?unlicense", "unlicense", 0.75), ("wtfpl", "wtfpl", "wtfpl", 0.75),
+    ("mit", "(?:mit|expat) licen[cs]ed?", "licen", 0.75), ("cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", "cc0", 0.85),
+)
+
+# Texts of common licenses, with bounded gaps: label, expression, keyword, confidence.
+TEXTS = (
+    ("mit", "permission is hereby granted free of charge(?: to any person(?: obtaining a copy)?(?: [^ ]+){0,12}? without restriction)?", "hereby", 0.95),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby", 0.95),
+    ("bsd", "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?", "redistribution", 0.9),
+    ("bsd-3-clause", "redistribution and use in source and binary forms(?: [^ ]+){0,120}? neither the names? of(?: [^ ]+){1,16}? nor the names of", "neither", 0.95),
+    ("apache-2.0", "licensed under the apache license version 2 0(?: the license)? you may not use this file except in compliance with the license", "compliance", 1.0),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute", 0.95),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "redistribute", 0.95),
+    ("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license", "redistribute", 0.95),
+    ("mpl-2.0", "subject to the terms of the mozilla public license(?: v| version)? ?v?2 0", "mozilla", 1.0),
+    ("zlib", "altered source versions must be plainly marked as such(?: [^ ]+){0,8}? misrepresented", "altered", 0.95),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 0.95),
+    ("boost-1.0", "distributed under the boost software license version 1 0", "boost", 1.0),
+    ("wtfpl", "do what the fuck you want to public license", "want", 0.95),
+)
+
 # Between words; letters of either case belong to words here.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GATE = ("licen", "cc", "creative", "gpl")
+GATE = ("licen", "cc", "creative", "gpl", "mpl", "bsd", "wtfpl", "hereby", "redistribut", "altered", "unencumbered", "affero", "lesser", "general", "want")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One signature: ``pattern`` spans exactly ``n_words`` words and holds ``keyword``."""
+    """One signature: ``pattern`` spans exactly ``n_words`` words, or those it matches if 0, and holds ``keyword``."""
 
     label: str
     pattern: str
@@ -133,6 +204,14 @@ def signature_rules() -> list[Rule]:
     return sorted(set(rules), key=lambda r: (r.priority, -r.n_words, r.pattern, r.label))
 
 
+def expression_rules() -> list[Rule]:
+    """Ids, short names and license texts; they take the interval that they match."""
+    rules = [Rule(label, f"{TAG} {text}", "licen", 0, 0, 1.0) for label, text in IDS]
+    rules += [Rule(label, text.replace("@later", LATER), keyword, 0, 1, confidence) for label, text, keyword, confidence in PROSE]
+    rules += [Rule(label, text, keyword, 0, 0, confidence) for label, text, keyword, confidence in TEXTS]
+    return sorted(set(rules), key=lambda r: (r.priority, -r.confidence, r.pattern, r.label))
+
+
 def base_rules() -> list[Rule]:
     return [Rule(label, phrase, phrase.split()[0], phrase.count(" ") + 1, 0, 0.75) for phrase, label in BASE_PHRASES]
 
@@ -141,7 +220,7 @@ def _literal(rules: list[Rule]) -> Column:
     return F.array(*(
         F.struct(
             F.lit(k).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-            F.lit(f" (?={r.pattern} )").alias("regex"), F.lit(r.n_words).alias("n"), F.lit(r.confidence).alias("confidence"),
+            F.lit(f" (?=({r.pattern}) )").alias("regex"), F.lit(r.n_words).alias("n"), F.lit(r.confidence).alias("confidence"),
         ) for k, r in enumerate(rules)
     ))
 
@@ -161,8 +240,13 @@ def _starts(norm: Column, regex: Column) -> Column:
 def _detect(norm: Column, rules: list[Rule]) -> Column:
     """All detections of a text, in the order in which suppression looks at them."""
     tried = F.filter(_literal(rules), lambda r: F.contains(norm, r["keyword"]))
-    found = F.transform(tried, lambda r: F.transform(_starts(norm, r["regex"]), lambda s: F.struct(
-        s.alias("start"), (-(s + r["n"])).alias("minus_end"), r["rank"].alias("rank"),
+    spaces = lambda m: F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit("")))
+    matched = lambda r: F.when(r["n"] == 0, F.regexp_extract_all(norm, r["regex"], F.lit(1)))
+    # The places and the matches of an expression come in the same order.
+    found = F.transform(tried, lambda r: F.transform(F.arrays_zip(
+        _starts(norm, r["regex"]).alias("s"), F.coalesce(matched(r), F.array().cast("array<string>")).alias("m"),
+    ), lambda x: F.struct(
+        x["s"].alias("start"), (-(x["s"] + F.when(r["n"] == 0, spaces(x["m"]) + 1).otherwise(r["n"]))).alias("minus_end"), r["rank"].alias("rank"),
         r["label"].alias("label"), r["confidence"].alias("confidence"),
     )))
     return F.array_sort(F.flatten(found))
@@ -183,7 +267,7 @@ def _unsuppressed(detections: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_words``, ``base`` and ``detections`` (arrays of intervals with labels)."""
-    rules = signature_rules() if rules is None else rules
+    rules = [*signature_rules(), *expression_rules()] if rules is None else rules
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The gate may let too much through, never too little: each rule holds one of its words.

@@ -62,3 +62,17 @@ def test_hundreds_of_rules_and_a_plan_without_python_or_shuffle(spark):
     assert len(signature_rules()) > 200
     plan = license_digest(scan_licenses(documents(spark, [(1, "x", None, None, None)])))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+FORMS = [
+    ("SPDX-License-Identifier: MIT", "mit", 4), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0", 6), ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0", 8),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause", 6), ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0", 6), ("released under GPLv3", "gpl-3.0", 1),
+    ("covered by the GNU LGPL", "lgpl", 2), ("Permission is hereby granted, free of charge", "mit", 7), ("Redistribution and use in source and binary forms", "bsd", 8),
+    ("the GNU General Public License, either version 3 of the License, or (at your option) any later version", "gpl-3.0", 17), ("LGPL v2.1 or later", "lgpl-2.1", 5),
+]
+
+
+def test_ids_versions_and_license_texts(spark):
+    rows = [(k, f"before it {text}, and after", None, None, None) for k, (text, _, _) in enumerate(FORMS)]
+    found = {r["id"]: [(d["label"], -d["minus_end"] - d["start"]) for d in r["detections"]] for r in scan_licenses(documents(spark, rows)).collect()}
+    assert found == {k: [(label, n_words)] for k, (_, label, n_words) in enumerate(FORMS)}
