@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from protomatch.llm.chosen_path import similar_documents
 from protomatch.llm.decontam import find_leaks
+from protomatch.llm.hard_negatives import mine_hard_negatives
 from protomatch.llm.imatch import fingerprint_documents
 from protomatch.llm.langid import fit_on as fit_languages
 from protomatch.llm.langid import identify
@@ -98,6 +99,12 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
@@ -109,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
+    "op13_hard_negatives": op13_hard_negatives,
 }

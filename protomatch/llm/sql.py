@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from protomatch.llm.chosen_path import DENOMINATOR, NUMERATOR, RUN_WORDS
+from protomatch.llm.hard_negatives import LEAST, POSITIVES, SCALE
+from protomatch.llm.hard_negatives import NEGATIVES as NEGATIVES_EACH
 from protomatch.llm.licenses import BASE_PHRASES, BREAK, signature_rules
 from protomatch.llm.mixing import BLOCK_BYTES, EXPONENT, POINTS
 from protomatch.llm.suffix import LENGTH
@@ -148,9 +150,36 @@ from texts t left join sums using (doc_id) left join kept using (doc_id)
 """
 
 
+NEGATIVES = f"""
+with usable as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor({SCALE} * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select a.r as anchor, a.vec_id as anchor_id, b.r, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from usable a join usable b on a.vec_id % 100 = 0 and a.r <> b.r
+),
+positives as (
+  select anchor, r, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor order by score desc, vec_id) <= {POSITIVES}
+),
+paired as (
+  select s.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+         row_number() over (partition by p.anchor, p.r order by s.score desc, s.vec_id)::int as rank
+  from positives p join scored s on s.anchor = p.anchor and not s.same
+   and {LEAST} * p.positive_score <= 100 * s.score and s.score <= p.positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from paired where rank <= {NEGATIVES_EACH}
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX,
     "op3_suffix_dedup": REPEATS,
     "op5_chosen_path": SIMILAR,
     "op7_license_scan": license_sql(),
+    "op13_hard_negatives": NEGATIVES,
 }

@@ -26,7 +26,8 @@ def sorted_rows(columns, rows):
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     df = QUERIES[name](spark, DATA)
     cursor = con.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
