@@ -13,6 +13,7 @@ from protomatch.llm.hard_negatives import mine_hard_negatives
 from protomatch.llm.imatch import fingerprint_documents
 from protomatch.llm.langid import fit_on as fit_languages
 from protomatch.llm.langid import identify
+from protomatch.llm.lexical_search import rank_documents
 from protomatch.llm.licenses import license_digest, scan_licenses
 from protomatch.llm.mixing import mix_sources, tempered_shares
 from protomatch.llm.quality_cnn import fit_on as fit_quality
@@ -99,6 +100,10 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -116,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
+    "op12_ranked_search": op12_ranked_search,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from protomatch.llm.chosen_path import DENOMINATOR, NUMERATOR, RUN_WORDS
 from protomatch.llm.hard_negatives import LEAST, POSITIVES, SCALE
 from protomatch.llm.hard_negatives import NEGATIVES as NEGATIVES_EACH
+from protomatch.llm.lexical_search import LOWER, TERM, TOP, UPPER
 from protomatch.llm.licenses import BASE_PHRASES, BREAK, signature_rules
 from protomatch.llm.mixing import BLOCK_BYTES, EXPONENT, POINTS
 from protomatch.llm.suffix import LENGTH
@@ -150,6 +151,27 @@ from texts t left join sums using (doc_id) left join kept using (doc_id)
 """
 
 
+RANKED = f"""
+with words as (
+  select doc_id, row_number() over () as r, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) as term from documents
+),
+counts as (select r, doc_id, term, count(*) as tf from words group by all),
+docs as (select r, sum(tf)::bigint as n from counts group by r),
+corpus as (select count(*)::bigint as docs, sum(n)::bigint as terms from docs),
+weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from counts, corpus group by term),
+asked as (
+  select q, item_id, term, count(*) as times
+  from (select row_number() over () as q, item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) as term from benchmark)
+  group by all
+),
+scored as (
+  select q, item_id, r, doc_id, sum(times * w * (1000000000 * tf // (1000 * tf + 8 * (25 + 75 * n * docs // terms))))::bigint as score
+  from asked join counts using (term) join weights using (term) join docs using (r), corpus group by all
+)
+select item_id, row_number() over (partition by q order by score desc, doc_id nulls last)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= {TOP}
+"""
+
 NEGATIVES = f"""
 with usable as (
   select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
@@ -181,5 +203,6 @@ ORACLES: dict[str, str] = {
     "op3_suffix_dedup": REPEATS,
     "op5_chosen_path": SIMILAR,
     "op7_license_scan": license_sql(),
+    "op12_ranked_search": RANKED,
     "op13_hard_negatives": NEGATIVES,
 }
