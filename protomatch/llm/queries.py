@@ -18,6 +18,7 @@ from protomatch.llm.licenses import license_digest, scan_licenses
 from protomatch.llm.mixing import mix_sources, tempered_shares
 from protomatch.llm.quality_cnn import fit_on as fit_quality
 from protomatch.llm.quality_cnn import score_documents
+from protomatch.llm.repeated_windows import remove_repeated_windows
 from protomatch.llm.sharding import first_map, place_records, read_map, slot_sizes, write_map
 from protomatch.llm.staging import shared_folder
 from protomatch.llm.suffix import remove_repeats
@@ -100,6 +101,15 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeated_windows(_documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
+    return done.select(
+        F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -121,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_repeated_windows": op11_repeated_windows,
     "op12_ranked_search": op12_ranked_search,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -8,6 +8,8 @@ from protomatch.llm.hard_negatives import NEGATIVES as NEGATIVES_EACH
 from protomatch.llm.lexical_search import LOWER, TERM, TOP, UPPER
 from protomatch.llm.licenses import BASE_PHRASES, BREAK, signature_rules
 from protomatch.llm.mixing import BLOCK_BYTES, EXPONENT, POINTS
+from protomatch.llm.repeated_windows import LAST_ID
+from protomatch.llm.repeated_windows import LENGTH as WINDOW
 from protomatch.llm.suffix import LENGTH
 
 MIX = f"""
@@ -151,6 +153,30 @@ from texts t left join sums using (doc_id) left join kept using (doc_id)
 """
 
 
+# A window is its words with a space between, which no word holds.
+WINDOWS = f"""
+with texts as (
+  select row_number() over () as r, doc_id, coalesce(doc_id, {LAST_ID}) as place, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents
+),
+windows as (
+  select r, place, i, md5(array_to_string(words[i:i + {WINDOW - 1}], ' ')) as w
+  from (select r, place, words, unnest(range(1, len(words) - {WINDOW} + 2)) as i from texts)
+),
+firsts as (select w, min(place) as first from windows group by w),
+lost as (select r, i from windows join firsts using (w) where first < place),
+covered as (select distinct r, i + j as i from lost, range(0, {WINDOW}) as t(j)),
+placed as (select r, unnest(words) as word, generate_subscripts(words, 1) as i from texts),
+kept as (select r, string_agg(word, ' ' order by i) as text from placed anti join covered using (r, i) group by r),
+sums as (
+  select r, count(*) as n, count(*) filter (where opens) as spans
+  from (select r, i > coalesce(lag(i) over (partition by r order by i), -1) + 1 as opens from covered) group by r
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256,
+       coalesce(spans, 0)::bigint as n_spans
+from texts left join sums using (r) left join kept using (r)
+"""
+
 RANKED = f"""
 with words as (
   select doc_id, row_number() over () as r, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) as term from documents
@@ -203,6 +229,7 @@ ORACLES: dict[str, str] = {
     "op3_suffix_dedup": REPEATS,
     "op5_chosen_path": SIMILAR,
     "op7_license_scan": license_sql(),
+    "op11_repeated_windows": WINDOWS,
     "op12_ranked_search": RANKED,
     "op13_hard_negatives": NEGATIVES,
 }
