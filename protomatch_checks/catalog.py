@@ -243,6 +243,19 @@ def search_to_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.score_table(unique, headings=report.HEADINGS)
 
 
+def _gapped(spark: SparkSession, sf_dir: str, settings: SearchSettings) -> DataFrame:
+    found = search(fixtures.edited_spacers(spark, sf_dir), fixtures.target_sequences(spark, sf_dir), settings)
+    return found.select("spacer_id", "target_id", "strand", "position", "mismatches", "gaps", "alignment_length")
+
+
+def gapped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gapped(spark, sf_dir, SearchSettings(gaps=fixtures.GAPS))
+
+
+def gapped_search_long_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gapped(spark, sf_dir, SearchSettings(seed=fixtures.LONG_SEED, gaps=fixtures.GAPS))
+
+
 QUERIES: dict[str, Query] = {
     "q01_parse_ids": parse_ids_query,
     "q02_coerce_numeric": coerce_numeric,
@@ -280,4 +293,6 @@ QUERIES: dict[str, Query] = {
     "q34_missing_cells": missing_cells,
     "q35_split_on_last": split_on_last,
     "q36_search_to_score_table": search_to_score_table,
+    "q37_gapped_search": gapped_search,
+    "q38_gapped_search_long_seed": gapped_search_long_seed,
 }

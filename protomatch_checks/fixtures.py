@@ -224,6 +224,21 @@ def spacer_sequences(spark: SparkSession, sf_dir: str, reverse_some: bool = Fals
     ).select("spacer_id", seq.alias("seq"))
 
 
+# Every fourth piece loses a base, every fifth other one gains one.
+EDITED = """case when cast({k} as bigint)%4=3 then substr(seq,1,15)||substr(seq,17)
+  when cast({k} as bigint)%5=4 then substr(seq,1,12)||'G'||substr(seq,13) else seq end"""
+# Most gap letters of the search with gaps.
+GAPS = 5
+# Seed word of the search that is compared with SQL, which cannot align the candidates of shorter words in reasonable time.
+LONG_SEED = 10
+
+
+def edited_spacers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spacers with a base too few or too many."""
+    spacers = spacer_sequences(spark, sf_dir, reverse_some=True)
+    return spacers.select("spacer_id", F.expr(EDITED.format(k="split(spacer_id,'_')[2]")).alias("seq"))
+
+
 # Lookups of a search of documents: names and lengths by document, nothing of the other kind of database.
 _DOC_GCA = "'C'||" + _text("doc_id%50")
 SEARCHED_LOOKUPS = {

@@ -224,6 +224,59 @@ select spacer_id, target_id, strand, cast(position as bigint) as position,
 from aligned where hamming(spacer, alignment_seq)*100 <= 20*length(spacer)"""
 
 
+def _nearest(query: str, target: str) -> str:
+    """Least edit distance of ``query`` to a beginning of ``target``."""
+    shifts = range(-fixtures.GAPS, fixtures.GAPS + 1)
+    return "least(" + ", ".join(f"levenshtein({query}, left({target}, greatest(0, length({query})+({d}))))" for d in shifts) + ")"
+
+
+# Sides of the seed as texts read outwards; every alignment of a side is walked letter by letter.
+_W = fixtures.LONG_SEED
+_GAPPED = f"""
+with recursive targets as materialized ({_TARGETS}),
+{_spacers(True)},
+edited as (select spacer_id, {fixtures.EDITED.format(k="split_part(spacer_id,'_',3)")} as seq from spacers),
+stranded as materialized (select spacer_id, seq, '+' as strand from edited
+  union all select spacer_id, reverse(translate(seq,'ACGT','TGCA')) as seq, '-' as strand from edited),
+seeds as (select *, substr(seq, o, {_W}) as word
+          from (select *, unnest(range(1, length(seq)-{_W - 2})) as o from stranded where length(seq) >= {_W})),
+tiles as (select target_id, length(seq) as total, k, greatest(0, 512*k-100) as base, substr(seq, greatest(0, 512*k-100)+1, 718) as part
+          from (select *, unnest(range(0, length(seq)//512+1)) as k from targets where length(seq) >= {_W})),
+words as (select target_id, base, part, p, substr(part, p-base, {_W}) as word
+          from (select *, unnest(range(512*k+1, least(512*(k+1), total-{_W - 1})+1)) as p from tiles)),
+framed as (select s.* exclude (seq), target_id, p, length(s.seq) as n, 20*length(s.seq)//100 as allowed,
+             reverse(substr(s.seq, 1, o-1)) as lq, substr(s.seq, o+{_W}) as rq,
+             reverse(substr(part, greatest(1, p-base-(o-1)-{fixtures.GAPS}), p-base-greatest(1, p-base-(o-1)-{fixtures.GAPS}))) as lt,
+             substr(part, p-base+{_W}, length(s.seq)-o-{_W - 1}+{fixtures.GAPS}) as rt
+           from words w join seeds s on w.word = s.word),
+near as (select * from framed where {_nearest("left(lq,12)", "lt")} + {_nearest("left(rq,12)", "rt")} <= allowed),
+likely as materialized (
+  select row_number() over () as id, * from near where {_nearest("lq", "lt")} + {_nearest("rq", "rt")} <= allowed),
+sides as materialized (select id, 'l' as side, lq as q, lt as t, allowed from likely
+  union all select id, 'r', rq, rt, allowed from likely),
+moves(kind, dj, dk, dd) as (values ('M',1,0,0), ('I',1,1,-1), ('D',0,1,1)),
+walk(id, side, j, k, d, mm) as (
+  select id, side, 0, 0, 0, 0 from sides
+  union
+  select w.id, w.side, j+dj, k+dk, d+dd, mm + case when kind='M' and substr(q,j+1,1)<>substr(t,j+d+1,1) then 1 else 0 end
+  from walk w join sides s on w.id=s.id and w.side=s.side, moves
+  where (dj=0 or j<length(q)) and (kind='I' or j+d<length(t)) and k+dk<={fixtures.GAPS}
+    and mm + k + dk + case when kind='M' and substr(q,j+1,1)<>substr(t,j+d+1,1) then 1 else 0 end <= allowed),
+ends as (select w.* from walk w join sides s on w.id=s.id and w.side=s.side where j=length(q)
+         qualify row_number() over (partition by w.id, w.side, k order by mm, abs(d), d desc)=1),
+paired as (select l.id, l.k+r.k as gaps, l.mm+r.mm as mm, 2*(l.mm+r.mm)+3*(l.k+r.k) as penalty, l.d as dl, r.d as dr
+           from ends l join ends r on l.id=r.id and l.side='l' and r.side='r' and l.k+r.k<={fixtures.GAPS}
+           join likely c on c.id=l.id where l.mm+r.mm+l.k+r.k<=allowed
+           qualify row_number() over (partition by l.id order by 2*(l.mm+r.mm)+3*(l.k+r.k), l.k+r.k, l.k)=1),
+placed as (select spacer_id, target_id, strand, p-(o-1)-dl as position, penalty, gaps, mm, n, n+dl+dr as span
+           from paired join likely using (id)
+           qualify row_number() over (partition by spacer_id, target_id, strand, p-(o-1)-dl order by penalty, gaps, n+dl+dr)=1)
+select spacer_id, target_id, strand, cast(position as bigint) as position, cast(mm as double) as mismatches, cast(gaps as double) as gaps,
+  cast(n + (gaps+span-n)//2 as double) as alignment_length
+from placed a where gaps=0 or not exists (
+  select 1 from placed b where a.spacer_id=b.spacer_id and a.target_id=b.target_id and a.strand=b.strand and a.position<>b.position
+    and abs(a.position-b.position)<={fixtures.GAPS} and (b.penalty, b.gaps, b.position) < (a.penalty, a.gaps, a.position))"""
+
 _CONTROL = f"""
 with targets as ({_TARGETS}),
 letters as (select target_id, seq, unnest(range(1, length(seq)+1)) as place from targets where length(seq) > 0),
@@ -336,6 +389,7 @@ from representatives"""),
     "q28_seed_search": _search(False),
     "q29_seed_search_both_strands": _search(True),
     "q30_shuffled_control": _CONTROL,
+    "q38_gapped_search_long_seed": _GAPPED,
     "q36_search_to_score_table": _score_table(inputs=_SEARCHED),
     "q31_profile_screen": f"{_SCREEN} select * from screened",
     "q32_genome_classification": _CLASSIFY,

@@ -35,9 +35,13 @@ def duck():
     return con
 
 
+# Compared with brute force in test_gapped: SQL takes minutes for the candidates of short seed words.
+WITHOUT_SQL = {"q37_gapped_search"}
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) <= set(registered.queries())
-    assert set(QUERIES) <= set(registered.oracle_sql())
+    assert set(QUERIES) - WITHOUT_SQL == set(registered.oracle_sql()) & set(QUERIES)
 
 
 def test_entry_works_without_the_training_data_subpackage(tmp_path):
@@ -45,10 +49,10 @@ def test_entry_works_without_the_training_data_subpackage(tmp_path):
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, check=True)
-    assert run.stdout.split() == [str(len(QUERIES))] * 2
+    assert run.stdout.split() == [str(len(QUERIES)), str(len(QUERIES) - len(WITHOUT_SQL))]
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WITHOUT_SQL])
 def test_query_equals_its_sql(spark, duck, name):
     df = registered.queries()[name](spark, DATA)
     cursor = duck.execute(registered.oracle_sql()[name])
