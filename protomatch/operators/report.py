@@ -12,6 +12,8 @@ from protomatch.operators.collapse import SEPARATOR
 from protomatch.operators.enrich import NOT_NUCLEOID_FORMING
 from protomatch.operators.joins import left_lookup, null_safe_join
 from protomatch.operators.parse import strip_version
+from protomatch.operators.places import with_places
+from protomatch.sources.staging import Stage
 
 LENGTH_CUTOFF = 200_000
 SCORE_FLOOR = 18
@@ -105,6 +107,13 @@ def _score_lists(hits: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def long_scores(hits: DataFrame, stage: Stage | None = None) -> DataFrame:
+    """One row per relationship and score, best first: how often it occurred (``n``) and its ``score_place``."""
+    keys = ["gcf", "target_gca", "target_id"]
+    counted = hits.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
+    return with_places(counted, keys, [F.col("score").desc_nulls_last()], "score_place", stage)
+
+
 def host_target_representatives(hits: DataFrame) -> DataFrame:
     """Best hit per (host, target cluster, target) with all its scores listed.
 

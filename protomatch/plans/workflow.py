@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +40,7 @@ from protomatch.operators.report import (
 )
 from protomatch.operators.search import SearchSettings, query_extent, search
 from protomatch.operators.select import select_hits
+from protomatch.plans.manifest import Digests, Manifest, content_digests, digest
 from protomatch.sources import sinks
 from protomatch.sources.staging import SharedStage, Stage
 
@@ -215,17 +216,27 @@ RESULTS = (
 )
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to its end."""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
-
-
-def _written(table: DataFrame, path: str, write: Callable[..., None]) -> DataFrame:
-    """Write a table unless it is finished, and go on from the files; the schema is kept so an empty table reads back too."""
-    if not _finished(table.sparkSession, path):
-        write(table, path, mode="overwrite")
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+def _inputs(hits: DataFrame, lookups: Lookups, taxonomy: DataFrame, settings: AnalysisSettings, headings: Sequence[str] | None) -> dict[str, Digests]:
+    """Digests of every result from what it is made of."""
+    of = {f.name: content_digests(getattr(lookups, f.name)) for f in fields(Lookups)}
+    part = lambda name, *more: digest(name, *[getattr(settings, s) for s in more])
+    match = digest(part("target_matches", "split_on", "mismatch_weight", "gap_weight", "match_nulls", "other_databases"), *[
+        of[n] for n in ("spacer_details", "strain_names", "phage_names", "phage_lengths", "imgvr_metadata")])
+    labels = (of["nucleoid_genbank"], of["nucleoid_imgvr"])
+    matches = {p: digest(match, d) for p, d in content_digests(hits, sinks.RUN_PARTITIONS).items()}
+    process = digest(part("processed", "match_nulls", "null_policy", "other_databases"), *labels)
+    processed = {p: digest(process, d) for p, d in matches.items()}
+    systems = {(p[0],) for p in processed}
+    stacked = {s: digest("hits", {p: d for p, d in processed.items() if p[0] == s[0]}) for s in systems}
+    unique = digest(part("unique_hits", "database_preference", "null_policy"), stacked)
+    scores = digest(part("scores", "length_cutoff", "score_floor", "headings"), headings, unique)
+    top = digest(part("top_hits", "top_score", "match_nulls", "other_databases"), *labels, matches)
+    single = {
+        "unique_hits": unique, **{f"score_table_{n}": digest(n, scores) for n in ("all", "large", "small", "nucleoid")},
+        "nucleoid_hits": digest(part("nucleoid_hits", "annotated_score", "match_nulls"), unique, content_digests(taxonomy)),
+        "top_hits": top, "host_target_representatives": digest("representatives", top), "relationship_summary": digest("summary", top),
+    }
+    return {"target_matches": matches, "processed": processed, "hits": stacked, **{n: {(): d} for n, d in single.items()}}
 
 
 def run_workflow(hits: DataFrame, lookups: Lookups, taxonomy: DataFrame, out: str,
@@ -233,33 +244,44 @@ def run_workflow(hits: DataFrame, lookups: Lookups, taxonomy: DataFrame, out: st
     """Run everything and write each table below ``out``; returns where each one is.
 
     Each step continues from the table the previous one wrote, so a lost
-    executor costs one step. A second run with the same ``out`` keeps finished
-    tables and does the rest, so it has to be given the same input and settings.
+    executor costs one step. A further run with the same ``out`` compares digests of the
+    inputs and settings with those of the tables (``manifest``): what depends on a change is made again, of
+    partitioned tables only the search results (system, database, run) that changed, and the rest stays.
     Tables that are no result go to the shared checkpoint folder and are
     deleted at the end, also when a step fails.
     """
     spark = hits.sparkSession
     paths = {name: f"{out}/{name}" for name in RESULTS}
-    matches = _written(all_matches(hits, lookups, settings), paths["target_matches"], sinks.write_match_table)
+    manifest, wanted = Manifest(spark, out), _inputs(hits, lookups, taxonomy, settings, headings)
+    only = lambda table, rows: table if rows is None else table.filter(rows)
+
+    def stored(name: str, shape: DataFrame) -> DataFrame:
+        # The schema is kept so an empty table reads back too.
+        return spark.read.schema(shape.schema).parquet(paths[name])
+
+    def single(name: str, table: DataFrame) -> DataFrame:
+        manifest.refresh(name, wanted[name], lambda _: table, sinks.write_annotated_hits)
+        return stored(name, table)
+
+    made = all_matches(hits, lookups, settings)
+    manifest.refresh("target_matches", wanted["target_matches"], lambda rows: all_matches(only(hits, rows), lookups, settings),
+                     sinks.write_match_table, sinks.RUN_PARTITIONS)
+    matches = stored("target_matches", made)
     stage = SharedStage(spark)
     try:
-        if _finished(spark, paths["processed"]):
-            processed = spark.read.parquet(paths["processed"])
-        else:
-            processed = _written(process_matches(matches, lookups, stage=stage, settings=settings),
-                                 paths["processed"], sinks.write_processed)
+        processed = manifest.refresh(
+            "processed", wanted["processed"],
+            lambda rows: process_matches(only(matches, rows), lookups, stage=stage, settings=settings), sinks.write_processed, sinks.RUN_PARTITIONS)
     finally:
         stage.discard()
-    stacked = _written(processed, paths["hits"], sinks.write_hits_table)
-    unique = _written(dedupe_spacers(stacked, settings.database_preference, settings.null_policy),
-                      paths["unique_hits"], sinks.write_annotated_hits)
-    for name, table in score_tables(unique, headings, settings).items():
-        if not _finished(spark, paths[f"score_table_{name}"]):
-            sinks.write_score_table(table, paths[f"score_table_{name}"], mode="overwrite")
-    annotated = annotate_taxonomy(unique, taxonomy, settings.annotated_score, settings.match_nulls)
-    _written(annotated, paths["nucleoid_hits"], sinks.write_annotated_hits)
-    best = top_hits(ungapped(classify(matches, lookups, settings)), settings.top_score)
-    best = _written(best, paths["top_hits"], sinks.write_annotated_hits)
-    chosen = _written(host_target_representatives(best), paths["host_target_representatives"], sinks.write_annotated_hits)
-    _written(relationship_summary(chosen), paths["relationship_summary"], sinks.write_annotated_hits)
+    processed = spark.read.parquet(paths["processed"]) if processed is None else stored("processed", processed)
+    manifest.refresh("hits", wanted["hits"], lambda rows: only(processed, rows), sinks.write_hits_table, ("system",))
+    unique = single("unique_hits", dedupe_spacers(stored("hits", processed), settings.database_preference, settings.null_policy))
+    if any(manifest.known(f"score_table_{n}") != wanted[f"score_table_{n}"] for n in ("all", "large", "small", "nucleoid")):
+        for name, table in score_tables(unique, headings, settings).items():
+            manifest.refresh(f"score_table_{name}", wanted[f"score_table_{name}"], lambda _, t=table: t, sinks.write_score_table)
+    single("nucleoid_hits", annotate_taxonomy(unique, taxonomy, settings.annotated_score, settings.match_nulls))
+    best = single("top_hits", top_hits(ungapped(classify(matches, lookups, settings)), settings.top_score))
+    chosen = single("host_target_representatives", host_target_representatives(best))
+    single("relationship_summary", relationship_summary(chosen))
     return paths

@@ -16,6 +16,7 @@ from protomatch.sources.readers import (
     read_strain_names,
     read_taxonomy,
 )
+from protomatch.sources.rejects import LAYOUTS, count_rejected, rejected_cells, rejected_lines
 from protomatch.sources.sinks import (
     write_annotated_hits,
     write_hits_table,
@@ -26,6 +27,10 @@ from protomatch.sources.sinks import (
 )
 
 __all__ = [
+    "LAYOUTS",
+    "count_rejected",
+    "rejected_cells",
+    "rejected_lines",
     "drop_header_lines",
     "pairs_to_lines",
     "parse_cells",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protomatch.operators import control, profile, report
-from protomatch.operators.collapse import COLLAPSED, SEPARATOR, collapse_targets
+from protomatch.operators.collapse import COLLAPSED, SEPARATOR, collapse_targets, long_hits, long_targets
 from protomatch.operators.dedupe import dedupe_spacers
 from protomatch.operators.enrich import (
     add_spacer_details,
@@ -25,7 +25,7 @@ from protomatch.operators.search import SearchSettings, search
 from protomatch.operators.select import select_hits
 from protomatch.plans import all_matches, classified_matches, classify, match_table, process_all, stack, tagged_search
 from protomatch.plans.workflow import is_kind
-from protomatch.sources import drop_header_lines, pairs_to_lines, parse_cells, schemas
+from protomatch.sources import LAYOUTS, drop_header_lines, pairs_to_lines, parse_cells, rejected_cells, schemas
 from protomatch.sources.staging import SharedStage, Stage, lazily
 from protomatch_checks import fixtures
 
@@ -135,6 +135,16 @@ def collapse_targets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed.withColumns({c: F.array_join(F.col(c).cast("array<string>"), SEPARATOR) for c in COLLAPSED})
 
 
+def collapse_long_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of each spacer as numbered rows."""
+    return long_targets(_selected(spark, sf_dir, "support"))
+
+
+def collapse_long_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each spacer as numbered rows, target by target."""
+    return long_hits(_selected(spark, sf_dir, "support"))
+
+
 def union_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_all(fixtures.search_hits(spark, sf_dir), fixtures.lookups(spark, sf_dir), stage=SharedStage(spark))
 
@@ -187,6 +197,10 @@ def host_target_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.host_target_representatives(_top_hits(spark, sf_dir))
 
 
+def long_score_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.long_scores(_top_hits(spark, sf_dir))
+
+
 def relationship_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.relationship_summary(host_target_representative(spark, sf_dir))
 
@@ -225,6 +239,12 @@ def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_cells(fixtures.derived(spark, sf_dir, fixtures.RAW_CELLS), schemas.HITS)
 
 
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a hit file that the reader cannot read as they stand."""
+    found = rejected_cells(fixtures.derived(spark, sf_dir, fixtures.RAW_LINES), LAYOUTS["hits"])
+    return found.select("l_orderkey", "l_linenumber", "cells", "reason", F.array_join("bad_columns", ",").alias("bad_columns"))
+
+
 def split_on_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target ids that hold hyphens of their own; only the last one starts the control tag."""
     hits = fixtures.search_hits(spark, sf_dir).withColumn("target_id", F.concat(F.lit("virus-"), "target_id"))
@@ -295,4 +315,8 @@ QUERIES: dict[str, Query] = {
     "q36_search_to_score_table": search_to_score_table,
     "q37_gapped_search": gapped_search,
     "q38_gapped_search_long_seed": gapped_search_long_seed,
+    "q39_collapse_long_targets": collapse_long_targets,
+    "q40_collapse_long_hits": collapse_long_hits,
+    "q41_long_score_list": long_score_list,
+    "q42_rejected_lines": rejected_lines,
 }

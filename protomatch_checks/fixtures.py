@@ -161,6 +161,15 @@ from ({SEARCH_HITS}) raw
 """
 
 
+# Lines of a hit file: some end early, some go on too long, some have words among the numbers.
+RAW_LINES = f"""
+select l_orderkey, l_linenumber, spacer_id||chr(9)||target_id||chr(9)||strand||chr(9)
+  ||case when l_linenumber=2 and l_quantity=5 then 'unknown' else {_text('position')} end||chr(9)||details
+  ||case when l_linenumber=3 and l_quantity=9 then '' else chr(9)||mismatches||chr(9)||gaps||chr(9)||coalesce(alignment_seq,'NA')||chr(9)||alignment_length end
+  ||case when l_linenumber=1 and l_quantity=21 then chr(9)||'more' else '' end||case when l_linenumber=4 then chr(13) else '' end as value
+from (select l_orderkey, l_linenumber, l_quantity, """ + SEARCH_HITS.strip().removeprefix("select ") + ") lines"
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from protomatch.operators.collapse import HIT_ORDER, TARGET_COLUMNS
 from protomatch_checks import fixtures
 from protomatch_checks.fixtures import duck
 
@@ -186,6 +187,14 @@ select score, {cells} from (
 group by score order by score""", inputs)
 
 
+_TARGETS_SHOWN, _HITS_SHOWN = ", ".join(TARGET_COLUMNS), ", ".join(HIT_ORDER)
+
+
+def _nulls_last(columns: str) -> str:
+    return ", ".join(f"{c} nulls last" for c in columns.split(", "))
+
+
+_LONG_TARGET_ORDER = f"target_length desc nulls last, {_nulls_last(', '.join(TARGET_COLUMNS[1:]))}"
 _DOC_BASES = fixtures.BASES_OF_TEXT.format(g=",'g'")
 _TARGETS = f"select 'doc'||cast(doc_id as varchar) as target_id, {_DOC_BASES} as seq from documents"
 
@@ -389,6 +398,22 @@ from representatives"""),
     "q28_seed_search": _search(False),
     "q29_seed_search_both_strands": _search(True),
     "q30_shuffled_control": _CONTROL,
+    "q39_collapse_long_targets": _with(f"""
+select *, row_number() over (partition by {_KEY} order by {_LONG_TARGET_ORDER}, score nulls last) as target_place
+from (select {_KEY}, score, {_TARGETS_SHOWN}, count(*) as n from selected group by all)"""),
+    "q40_collapse_long_hits": _with(f"""
+select *, row_number() over (partition by {_KEY} order by {_LONG_TARGET_ORDER}, {_nulls_last(_HITS_SHOWN)}, score nulls last) as hit_place
+from (select {_KEY}, score, {_TARGETS_SHOWN}, {_HITS_SHOWN}, count(*) as n from selected group by all)"""),
+    "q41_long_score_list": _with("""
+select *, row_number() over (partition by gcf, target_gca, target_id order by score desc nulls last) as score_place
+from (select gcf, target_gca, target_id, score, count(*) as n from top group by all)"""),
+    "q42_rejected_lines": f"""
+select l_orderkey, l_linenumber, cast(len(cells) as int) as cells,
+  case when len(cells) < 9 then 'too few cells' when len(cells) > 9 then 'too many cells' else 'no number' end as reason,
+  concat_ws(',', {', '.join(f"case when nullif(nullif(cells[{i}],'NA'),'') is not null and try_cast(cells[{i}] as {t}) is null then '{n}' end"
+                            for i, n, t in ((4, 'position', 'bigint'), (6, 'mismatches', 'double'), (7, 'gaps', 'double'), (9, 'alignment_length', 'double')))}) as bad_columns
+from (select l_orderkey, l_linenumber, string_split(rtrim(value, chr(13)), chr(9)) as cells from ({duck(fixtures.RAW_LINES)}) raw) split
+where len(cells) <> 9 or bad_columns <> ''""",
     "q38_gapped_search_long_seed": _GAPPED,
     "q36_search_to_score_table": _score_table(inputs=_SEARCHED),
     "q31_profile_screen": f"{_SCREEN} select * from screened",
