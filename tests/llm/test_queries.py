@@ -35,6 +35,14 @@ def test_query_equals_its_sql(spark, name):
     assert sorted_rows(df.columns, df.collect()) == sorted_rows(columns, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name, columns", [
+    ("op12_ranked_search", ["item_id", "rank", "doc_id", "score"]),
+    ("op13_hard_negatives", ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]),
+])
+def test_contract_columns(spark, name, columns):
+    assert QUERIES[name](spark, DATA).columns[:len(columns)] == columns
+
+
 @pytest.mark.parametrize("name, columns", [
     ("op2_virtual_slots", ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]),
     ("op3_suffix_dedup", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
@@ -42,6 +50,7 @@ def test_query_equals_its_sql(spark, name):
     ("op6_language_id", ["doc_id", "held_out", "lang_pred", "score"]),
     ("op7_license_scan", ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]),
     ("op10_quality_cnn", ["doc_id", "held_out", "score", "predicted"]),
+    ("op11_repeated_windows", ["doc_id", "n_words", "n_removed", "kept_sha256"]),
 ])
 def test_contract_columns_and_one_row_per_document(spark, name, columns):
     df = QUERIES[name](spark, DATA)
