@@ -12,7 +12,6 @@ from protomatch.plans import AnalysisSettings, process_all, run_workflow
 from protomatch.plans.manifest import Manifest, content_digests
 from protomatch.plans.workflow import RESULTS
 from protomatch.sources.sinks import write_hits_table
-from protomatch.sources.staging import lazily
 from protomatch_checks import fixtures
 
 DATA = "/root/testdata/sf0.001"
@@ -65,9 +64,9 @@ def test_changes_redo_what_depends_on_them(spark, tmp_path):
     for name in ("target_matches", "processed"):
         assert [p for p in now[name] if now[name][p] != first[name].get(p)] == ["system=TypeIE/target_database=gb>150kb/run=shuffled"]
     assert [p for p in now["hits"] if now["hits"][p] != first["hits"].get(p)] == ["system=TypeIE"]
-    lazy = process_all(more, look, stage=lazily)
+    whole = process_all(more, look)
     stored = spark.read.parquet(paths["hits"])
-    assert rows_of(stored, *sorted(lazy.columns)) == rows_of(lazy, *sorted(lazy.columns))
+    assert rows_of(stored, *sorted(whole.columns)) == rows_of(whole, *sorted(whole.columns))
 
 
 def test_partitions_that_change_go_or_break_off(spark, tmp_path):
