@@ -1,24 +1,36 @@
 """Mix sources to target weights by proportionate-fair scheduling, SQL functions only.
 
-Every source is cut into blocks of about ``block_bytes`` bytes of text. A source
-with ``share`` of the ``total`` shares gets one slot per block; its k-th block
-(from 0) may not run before slot floor(k * total / share) and must run before
-slot ceil((k + 1) * total / share). Among the blocks that may run, the one with
-the earliest deadline takes the slot. Shares are whole numbers, so the schedule
-repeats after ``total`` slots and one period describes it for any input; after
-every slot a source is less than one block away from its target.
+Shares are whole numbers of any size and the schedule keeps them exactly. Sources lie side
+by side on the line of all shares; halving the line again and again makes a binary tree
+with a source in each leaf. A node passes each of its slots to one of its two halves. Of
+the half with ``a`` of the node's ``t`` shares, block k (from 0) is released at slot
+floor(k * t / a) and has its deadline at (k + 1) * t / a; the released block with the
+earliest deadline runs, on ties that of the left half. Of two halves, the one whose next deadline
+is earlier has always been released, so a block's slot is the number of earlier deadlines and
+comes out in closed form. Slots follow from arithmetic along the path of a
+source, for every block by itself, and no task steps through a schedule.
+
+A node's half is less than one slot away from its part of the node's slots, so a
+source with share w is less than the sum of w / (shares of the node) over its path away
+from its target. Nodes on a path double in share with every other step up or faster, as neighbours on the
+line fill the larger cells, which keeps this sum below ``PARTS`` = 8. Slots therefore
+hold an eighth of a block (``block_bytes``), and at every prefix of the mix a source is less
+than one block away from its target.
 
 The mix ends when every source has been read once. Until then shorter sources
 start again, so their documents are there more than once and no document is lost.
 
-A document belongs to the block in which its first byte lies, in the order of the
-digest of its id. Blocks and copies follow from running sizes (see ``prefix``).
+A document belongs to the part of a block in which its first byte lies, in the order of the
+digest of its id. Parts and copies follow from running sizes (see ``prefix``). The table of
+sources and their paths is written to the shared folder; Spark broadcasts it only
+below its own size limit.
 
 Defined cases: a null source is a source of its own; a null text has no bytes, and
 so does an empty one, both are placed like any other; documents without an id come
 first in their source; repeated rows are separate documents; other columns are
 kept as they are, so the columns added here must not be among them; an empty
-table gives an empty mix. Shares must be whole and at least 1.
+table gives an empty mix. Shares must be whole and at least 1 and add up to less than 2**30;
+products of shares and slots are checked 64-bit integers. Any number of sources will do.
 """
 
 from __future__ import annotations
@@ -29,10 +41,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protomatch.llm.prefix import with_running
+from protomatch.llm.staging import shared_folder, written
 
 BLOCK_BYTES = 1 << 16
+# Slots that a block is scheduled in.
+PARTS = 8
 EXPONENT = 0.8
-POINTS = 100
+# Resolution of tempered shares: the least share is 4 in a thousand million.
+POINTS = 1 << 28
+# Halvings of the line of shares: cells are smaller than one share then.
+DEPTH = 30
 ADDED = ("mix_slot", "mix_block", "mix_copy")
 
 
@@ -49,13 +67,15 @@ def _sizes(text_col: str, size_col: str | None) -> Column:
 
 def tempered_shares(
     docs: DataFrame, *, source_col: str = "source", text_col: str = "text", size_col: str | None = None, exponent: float = EXPONENT, points: int = POINTS,
+    least_bytes: int = BLOCK_BYTES // PARTS,
 ) -> DataFrame:
-    """Shares in proportion to bytes raised to ``exponent``, about ``points`` in all and at least 1 each.
+    """Shares in proportion to bytes raised to ``exponent``, about ``points`` in all and at least 1 each (finer than a block of any mix up to some TB).
 
-    An exponent below 1 raises small sources. One row per source: ``mix_source``, ``share``.
+    An exponent below 1 raises small sources. A source counts with at least ``least_bytes``, one slot: it takes a whole
+    one, and with a smaller share the mix would go on until that slot comes. One row per source: ``mix_source``, ``share``.
     """
     sizes = docs.groupBy(_name(F.col(source_col)).alias("mix_source")).agg(F.sum(_sizes(text_col, size_col)).alias("bytes"))
-    total = F.pow(F.col("bytes").cast("double"), F.lit(exponent))
+    total = F.pow(F.greatest(F.col("bytes"), F.lit(least_bytes)).cast("double"), F.lit(exponent))
     whole = sizes.agg(F.sum(total).alias("whole"))
     share = F.greatest(F.lit(1), F.round(F.lit(float(points)) * total / F.greatest(F.col("whole"), F.lit(1.0))).cast("int"))
     return sizes.join(F.broadcast(whole)).select("mix_source", share.alias("share"))  # one row
@@ -72,35 +92,38 @@ def given_shares(docs: DataFrame, shares: Mapping[str | None, int], *, default:
     return docs.select(_name(F.col(source_col)).alias("mix_source")).distinct().select("mix_source", share.alias("share"))
 
 
-def period(shares: DataFrame) -> DataFrame:
-    """One period of the schedule: ``mix_source``, ``share``, ``total``, ``k`` (block inside the period), ``at`` (slot).
+def schedule(shares: DataFrame) -> DataFrame:
+    """The tree of halvings: ``mix_source``, ``share`` and ``path``.
 
-    The fold below is sequential, over ``total`` slots: the sum of the shares, a
-    parameter that no input changes.
+    ``path`` lists from the leaf to the root the nodes that share their parent with another one:
+    ``own`` shares of ``whole``, and whether they are the ``right`` half.
     """
-    by_name = lambda d: F.transform(F.array_sort(d), lambda x: x)
-    one = shares.agg(by_name(F.collect_list(F.struct("mix_source", "share"))).alias("all"), F.sum("share").alias("total")).where("total > 0")
-    total = F.col("total")
-    state = "struct<done:array<int>,plan:array<struct<source:int,k:int,at:int>>>"
-    start = F.struct(F.transform("all", lambda x: F.lit(0)).alias("done"), F.array().alias("plan")).cast(state)
-
-    def step(acc: Column, slot: Column) -> Column:
-        waiting = F.transform("all", lambda x, i: F.struct(
-            F.ceil((acc["done"][i] + 1) * total / x["share"]).alias("deadline"), i.alias("source"),
-            F.floor(acc["done"][i] * total / x["share"]).alias("release"),
-        ))
-        first = F.array_min(F.filter(waiting, lambda w: w["release"] <= slot))["source"]
-        done = F.transform(acc["done"], lambda d, i: F.when(i == first, d + 1).otherwise(d))
-        entry = F.struct(first.alias("source"), acc["done"][first].alias("k"), slot.alias("at"))
-        return F.struct(done.alias("done"), F.concat(acc["plan"], F.array(entry)).alias("plan")).cast(state)
-
-    plan = F.aggregate(F.sequence(F.lit(0), (total - 1).cast("int")), start, step, lambda acc: acc["plan"])
-    slots = one.select("all", "total", F.explode(plan).alias("p"))
-    source = F.col("all")[F.col("p.source")]
-    return slots.select(
-        source["mix_source"].alias("mix_source"), source["share"].cast("long").alias("share"), "total",
-        F.col("p.k").cast("long").alias("k"), F.col("p.at").cast("long").alias("at"),
+    line = shares.select("mix_source", F.col("share").cast("long").alias("share"), F.md5("mix_source").alias("key_"), F.lit("all").alias("all_"))
+    line = with_running(line, ["all_"], "key_", ["mix_source"], "share")
+    # Twice the middle of the source's stretch of the line, so that it is whole.
+    middle, ends = F.col("before") * 2 + F.col("share"), F.col("group_size") * 2
+    cells = line.withColumn("middle", middle).withColumn("ends", ends).select(
+        "mix_source", "share", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), "middle", "ends",
+    ).select("mix_source", "share", "depth", F.expr("shiftleft(middle, depth) div ends").alias("cell"))
+    nodes = cells.groupBy("depth", "cell").agg(F.sum("share").alias("own"))
+    levels = cells.join(nodes, ["depth", "cell"]).groupBy("mix_source", "share").agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("depth", "own", (F.col("cell") % 2 == 1).alias("right"))))).alias("up"),  # DEPTH + 1 entries
     )
+    path = """filter(transform(slice(up, 1, size(up) - 1), (x, i) -> named_struct('own', x.own, 'whole', up[i + 1].own, 'right', x.right)),
+        x -> x.own < x.whole)"""
+    return levels.select("mix_source", "share", F.expr(path).alias("path"))
+
+
+def slot_of(part: str) -> Column:
+    """Slot of the source's part number ``part`` (a column, from 0), from the leaf to the root."""
+    return F.expr(f"""aggregate(path, cast({part} as bigint), (s, x) ->
+        if(x.right, ((s + 1) * x.whole) div x.own - 1, ((s + 1) * x.whole + x.own - 1) div x.own - 2))""")
+
+
+def parts_before(slot: str) -> Column:
+    """How many parts the source has had before slot ``slot`` (a column), from the root to the leaf."""
+    return F.expr(f"""aggregate(reverse(path), cast({slot} as bigint), (n, x) ->
+        if(x.right, ((n + 1) * x.own + x.whole - 1) div x.whole - 1, ((n + 1) * x.own) div x.whole))""")
 
 
 def mix_sources(
@@ -113,31 +136,24 @@ def mix_sources(
     clash = {c.lower() for c in docs.columns} & set(ADDED)
     if clash:
         raise ValueError(f"columns of the mix are already there: {sorted(clash)}")
-    plan = period(shares)
+    part_bytes = max(block_bytes // PARTS, 1)
+    n_parts = F.greatest(F.ceil(F.col("bytes") / F.lit(part_bytes)), F.lit(1)).cast("long")
+    totals = docs.groupBy(_name(F.col(source_col)).alias("mix_source")).agg(F.sum(_sizes(text_col, size_col)).alias("bytes"))
+    sources = totals.select("mix_source", n_parts.alias("parts_")).join(schedule(shares), "mix_source")
+    folder = shared_folder(docs.sparkSession)
+    sources = written(sources.withColumn("last_", slot_of("parts_ - 1")), folder, "sources")
+    # The slot after every source's last part, where the mix ends, and how many parts each source has had by then.
+    end = sources.agg((F.max("last_") + 1).alias("end_"))
+    quota = sources.join(F.broadcast(end)).withColumn("quota_", parts_before("end_"))  # end is one row
+    quota = written(quota.select("mix_source", "parts_", "path", "quota_"), folder, "quota")
     # Own columns travel in one struct, so no name of the caller's can meet one used here.
     rows = docs.select(
         F.struct("*").alias("row_"), _name(F.col(source_col)).alias("mix_source"), _sizes(text_col, size_col).alias("size_"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key_"), F.col(id_col).alias("id_"),
     )
-    rows = with_running(rows, ["mix_source"], "key_", ["id_", "size_"], "size_")
-    n_blocks = F.greatest(F.ceil(F.col("group_size") / F.lit(block_bytes)), F.lit(1)).cast("long")
-    block = F.least(F.floor(F.col("before") / F.lit(block_bytes)).cast("long"), F.col("blocks_") - 1)
-    totals = docs.groupBy(_name(F.col(source_col)).alias("mix_source")).agg(F.sum(_sizes(text_col, size_col)).alias("group_size"))
-    totals = totals.select("mix_source", n_blocks.alias("blocks_"))
-    per_source = plan.select("mix_source", "share", "total").distinct()
-    place = lambda j: (F.floor(j / F.col("share")) * F.col("total")).cast("long")
-    # The slot after every source's last block, where the mix ends; then how many blocks each source has had by then.
-    last = totals.join(plan, "mix_source").where(F.col("k") == (F.col("blocks_") - 1) % F.col("share"))
-    end = last.agg((F.max(place(F.col("blocks_") - 1) + F.col("at")) + 1).alias("end_"))
-    rest = plan.join(F.broadcast(end)).where(F.col("at") < F.col("end_") % F.col("total"))  # end is one row
-    quota = per_source.join(F.broadcast(end)).join(rest.groupBy("mix_source").agg(F.count("*").alias("extra")), "mix_source", "left")
-    quota = quota.select(
-        "mix_source", "share", "total",
-        ((F.floor(F.col("end_") / F.col("total")) * F.col("share")).cast("long") + F.coalesce("extra", F.lit(0))).alias("quota_"),
-    )
-    rows = rows.withColumn("blocks_", n_blocks).withColumn("mix_block", block).join(F.broadcast(quota), "mix_source")
-    copies = F.floor((F.col("quota_") - 1 - F.col("mix_block")) / F.col("blocks_")).cast("long")
+    rows = with_running(rows, ["mix_source"], "key_", ["id_", "size_"], "size_").join(quota, "mix_source")
+    rows = rows.withColumn("part_", F.least(F.floor(F.col("before") / F.lit(part_bytes)).cast("long"), F.col("parts_") - 1))
+    copies = F.expr("(quota_ - 1 - part_) div parts_")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
-    rows = rows.withColumn("j_", F.col("mix_block") + F.col("mix_copy") * F.col("blocks_")).withColumn("k", F.col("j_") % F.col("share"))
-    rows = rows.join(F.broadcast(plan.select("mix_source", "k", "at")), ["mix_source", "k"])
-    return rows.select("row_.*", (place(F.col("j_")) + F.col("at")).alias("mix_slot"), "mix_block", "mix_copy")
+    slot, block = slot_of("part_ + mix_copy * parts_"), F.expr(f"part_ div {PARTS}")
+    return rows.select("row_.*", slot.alias("mix_slot"), block.alias("mix_block"), "mix_copy")

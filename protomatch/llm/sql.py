@@ -7,54 +7,47 @@ from protomatch.llm.hard_negatives import LEAST, POSITIVES, SCALE
 from protomatch.llm.hard_negatives import NEGATIVES as NEGATIVES_EACH
 from protomatch.llm.lexical_search import LOWER, TERM, TOP, UPPER
 from protomatch.llm.licenses import BASE_PHRASES, BREAK, signature_rules
-from protomatch.llm.mixing import BLOCK_BYTES, EXPONENT, POINTS
+from protomatch.llm.mixing import BLOCK_BYTES, DEPTH, EXPONENT, PARTS, POINTS
 from protomatch.llm.repeated_windows import LAST_ID
 from protomatch.llm.repeated_windows import LENGTH as WINDOW
 from protomatch.llm.suffix import LENGTH
 
-MIX = f"""
-with recursive docs as (
+
+def mix_sql() -> str:
+    levels, weight = range(1, DEPTH + 1), f"pow(greatest(bytes, {BLOCK_BYTES // PARTS}), {EXPONENT})"
+    nodes = ", ".join(f"max(own) filter (depth = {d}) as w{d}, max(cell) filter (depth = {d}) as c{d}" for d in range(DEPTH + 1))
+    # 1 for the right half of a node, and for a node that has all of its parent.
+    rights = ", ".join(f"(c{d} % 2 = 1 or w{d} = w{d - 1})::bigint as r{d}" for d in levels)
+    up = ", ".join(f"((s{d} + 1) * w{d - 1} + (1 - r{d}) * (w{d} - 1)) // w{d} - 2 + r{d} as s{d - 1}" for d in reversed(levels))
+    down = ", ".join(f"((n{d - 1} + 1) * w{d} + r{d} * (w{d - 1} - 1)) // w{d - 1} - r{d} as n{d}" for d in levels)
+    return f"""
+with docs as (
   select doc_id, source, coalesce(octet_length(encode(text)), 0)::bigint as size,
          md5(coalesce(doc_id::varchar, '')) as key from documents
 ),
 sizes as (select source, sum(size)::bigint as bytes from docs group by source),
 shares as (
-  select source, greatest(1, round({POINTS} * pow(bytes, {EXPONENT}) / sum(pow(bytes, {EXPONENT})) over ())::int) as share,
-         greatest(ceil(bytes / {BLOCK_BYTES}), 1)::bigint as blocks,
-         row_number() over (order by source nulls first) as id
+  select source, greatest(1, round({POINTS} * {weight} / sum({weight}) over ()))::bigint as share,
+         greatest(ceil(bytes / {BLOCK_BYTES // PARTS}), 1)::bigint as parts,
+         md5(case when source is null then 'none' else 'source ' || source end) as place
   from sizes
 ),
-total as (select sum(share)::bigint as total from shares),
-slots(pos, done, source_id, k) as (
-  select -1::bigint, (select list(0 order by id) from shares), 0::bigint, 0
-  union all
-  select pos + 1, list_transform(done, lambda d, i: case when i = best.id then d + 1 else d end), best.id, done[best.id]
-  from slots, lateral (
-    select id from shares, total
-    where done[id] * total // share <= pos + 1
-    order by ceil((done[id] + 1) * total / share), id limit 1
-  ) best
-  where pos + 1 < (select total from total)
-),
-plan as (select source_id as id, k, pos from slots where pos >= 0),
-ends as (
-  select max((blocks - 1) // share * total + pos) + 1 as finish
-  from shares, total, plan where plan.id = shares.id and plan.k = (blocks - 1) % share
-),
-quota as (
-  select s.*, total, finish // total * share + (select count(*) from plan p where p.id = s.id and p.pos < finish % total) as quota
-  from shares s, total, ends
-),
+line as (select *, 2 * sum(share) over (order by place) - share as middle, 2 * sum(share) over () as ends from shares),
+cells as (select *, (middle::bigint * (1::bigint << depth)) // ends::bigint as cell from line, (select unnest(range(0, {DEPTH + 1})) as depth)),
+nodes as (select depth, cell, sum(share)::bigint as own from cells group by depth, cell),
+widths as (select source, any_value(parts) as parts, {nodes} from cells join nodes using (depth, cell) group by source),
+paths as (select *, {rights} from widths),
+lasts as (select *, parts - 1 as s{DEPTH}, {up} from paths),
+ends as (select max(s0) + 1 as n0 from lasts),
+quotas as (select p.*, n0, {down} from paths p, ends),
 placed as (
-  select doc_id, d.source, share, total, quota, blocks, id,
-         least(coalesce(sum(size) over (partition by d.source order by key, doc_id, size
-               rows between unbounded preceding and 1 preceding), 0) // {BLOCK_BYTES}, blocks - 1)::bigint as block
-  from docs d join quota q on d.source is not distinct from q.source
-),
-copies as (select *, unnest(range(0, ((quota - 1 - block) // blocks + 1)::bigint)) as copy from placed)
-select doc_id, source, ((block + copy * blocks) // share * total + pos)::bigint as mix_slot,
-       block as mix_block, copy::bigint as mix_copy
-from copies c join plan p on p.id = c.id and p.k = (block + copy * blocks) % share
+  select d.doc_id, d.source, least(coalesce(sum(size) over (partition by d.source order by key, doc_id nulls first, size
+         rows between unbounded preceding and 1 preceding), 0)::bigint // {BLOCK_BYTES // PARTS}, q.parts - 1)::bigint as part, q.*  exclude (source)
+  from docs d join quotas q on d.source is not distinct from q.source
+),
+copies as (select *, unnest(range(0, (n{DEPTH} - 1 - part) // parts + 1)) as copy from placed),
+slots as (select *, part + copy * parts as s{DEPTH}, {up} from copies)
+select doc_id, source, s0::bigint as mix_slot, (part // {PARTS})::bigint as mix_block, copy::bigint as mix_copy from slots
 """
 
 
@@ -225,7 +218,7 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 
 ORACLES: dict[str, str] = {
-    "op1_mix_sources": MIX,
+    "op1_mix_sources": mix_sql(),
     "op3_suffix_dedup": REPEATS,
     "op5_chosen_path": SIMILAR,
     "op7_license_scan": license_sql(),
