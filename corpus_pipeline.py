@@ -52,8 +52,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, and those of raised sources again until the weights are met."""
-    return mix_sources(docs, tempered_shares(docs)).drop(*ADDED)
+    """Every document at least once, and those of raised sources again until the weights are met; rows lie in the order of the mix."""
+    return mix_sources(docs, tempered_shares(docs)).orderBy("mix_slot", "mix_copy", "doc_id").drop(*ADDED)
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
