@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from protomatch.llm.decontam import words_of
+from protomatch.llm.mixing import mix_sources, tempered_shares
 from protomatch.llm.token_output import DTYPE, END, Permutation, read_encoding
 from tests.llm.helpers import documents, odd_rows
 from tests.llm.test_chosen_path import brute, copies
@@ -30,6 +31,14 @@ def test_one_document_of_each_group_stays(spark):
     assert len(got) == len(want) + (len(got) - len(set(got))) and set(got) == want
 
 
+def test_mix_lies_in_the_order_of_its_slots(spark):
+    rows = [(k, f"text {k} " * 900, "en", "big" if k % 3 else f"s{k % 4}", 1) for k in range(300)]
+    docs = documents(spark, rows)
+    slots = mix_sources(docs, tempered_shares(docs)).select("doc_id", "mix_slot", "mix_copy").collect()
+    want = [r["doc_id"] for r in sorted(slots, key=lambda r: (r["mix_slot"], r["mix_copy"], r["doc_id"]))]
+    assert [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, SMALL).collect()] == want and len({r["mix_slot"] for r in slots}) > 100
+
+
 def test_odd_rows_and_empty_tables_pass_all_stages(spark):
     for rows in (odd_rows(), []):
         docs = documents(spark, rows, clashes=True)
