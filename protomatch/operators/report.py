@@ -13,7 +13,7 @@ from protomatch.operators.enrich import NOT_NUCLEOID_FORMING
 from protomatch.operators.joins import left_lookup, null_safe_join
 from protomatch.operators.parse import strip_version
 from protomatch.operators.places import with_places
-from protomatch.sources.staging import Stage
+from protomatch.sources.staging import Stage, lazily
 
 LENGTH_CUTOFF = 200_000
 SCORE_FLOOR = 18
@@ -38,30 +38,43 @@ def score_counts(hits: DataFrame, size: str | None = None, nucleoid_only: bool =
         raise ValueError(f"size must be 'large', 'small' or None, not {size!r}")
     if nucleoid_only:
         hits = hits.filter(nucleoid_forming())
-    score = F.when(F.col("score") <= floor, F.lit(float(floor))).otherwise(F.col("score"))
-    return hits.groupBy("system", "shuffled", score.alias("score")).agg(F.count(F.lit(1)).alias("score_freq"))
+    return hits.groupBy("system", "shuffled", _binned(floor)).agg(F.count(F.lit(1)).alias("score_freq"))
 
 
-def score_table(hits: DataFrame, size: str | None = None, nucleoid_only: bool = False,
-                cutoff: int = LENGTH_CUTOFF, floor: int = SCORE_FLOOR,
-                headings: Sequence[str] | None = None) -> DataFrame:
-    """Score frequencies with one column per system and run tag; absent cells are NULL.
+def _binned(floor: int) -> Column:
+    return F.when(F.col("score") <= floor, F.lit(float(floor))).otherwise(F.col("score")).alias("score")
 
-    The columns come from the data unless ``headings`` names them, which fixes
-    their order and saves a job; a heading that is in the data and not among
-    them is an error when the table is computed.
-    """
-    counts = score_counts(hits, size, nucleoid_only, cutoff, floor)
+
+def flagged_counts(hits: DataFrame, cutoff: int = LENGTH_CUTOFF, floor: int = SCORE_FLOOR) -> DataFrame:
+    """Counts from which every score table follows, in one aggregate: ``large`` (NULL without a length) and ``nucleoid`` tell them apart."""
+    flags = [(F.col("target_length") >= cutoff).alias("large"), F.coalesce(nucleoid_forming(), F.lit(False)).alias("nucleoid")]
+    return hits.groupBy("system", "shuffled", _binned(floor), *flags).agg(F.count(F.lit(1)).alias("score_freq"))
+
+
+def counts_table(counts: DataFrame, headings: Sequence[str] | None = None) -> DataFrame:
+    """Counts as a table of one column per system and run tag; without ``headings`` reads ``counts`` twice, so from a stored table."""
     heading = F.concat_ws("_", "system", "shuffled")
     if headings:
         missing = F.raise_error(F.concat(F.lit("no column of the score table for heading "), heading))
         heading = F.when(heading.isin(list(headings)), heading).otherwise(missing)
-    named = counts.withColumn("heading", heading)
-    grouped = named.groupBy("score")
+    grouped = counts.withColumn("heading", heading).groupBy("score")
     pivot = grouped.pivot("heading", list(headings)) if headings else grouped.pivot("heading")
     return pivot.agg(F.sum("score_freq")).orderBy(F.col("score").asc_nulls_last())
 
 
+def score_table(hits: DataFrame, size: str | None = None, nucleoid_only: bool = False,
+                cutoff: int = LENGTH_CUTOFF, floor: int = SCORE_FLOOR,
+                headings: Sequence[str] | None = None, stage: Stage = lazily) -> DataFrame:
+    """Score frequencies with one column per system and run tag; absent cells are NULL.
+
+    The columns come from the data unless ``headings`` names them, which fixes
+    their order and saves a job; a heading that is in the data and not among
+    them is an error when the table is computed. With a ``stage`` the counts are stored
+    first, so that the columns are looked up in them and ``hits`` are computed once.
+    """
+    return counts_table(stage(score_counts(hits, size, nucleoid_only, cutoff, floor), "score_counts"), headings)
+
+
 def normalise_taxonomy(taxonomy: DataFrame) -> DataFrame:
     """Assembly accession without database prefix and version; other prefixes stay and never match."""
     return taxonomy.withColumn("gcf_tax", strip_version(F.regexp_replace("gcf_tax", "RS_", "")))

@@ -33,16 +33,17 @@ from protomatch.operators.report import (
     SCORE_FLOOR,
     TOP_SCORE,
     annotate_taxonomy,
+    counts_table,
+    flagged_counts,
     host_target_representatives,
     relationship_summary,
-    score_table,
     top_hits,
 )
 from protomatch.operators.search import SearchSettings, query_extent, search
 from protomatch.operators.select import select_hits
 from protomatch.plans.manifest import Digests, Manifest, content_digests, digest
 from protomatch.sources import sinks
-from protomatch.sources.staging import SharedStage, Stage
+from protomatch.sources.staging import SharedStage, Stage, lazily
 
 KINDS = ("genbank", "imgvr")
 
@@ -201,13 +202,11 @@ def process_all(hits: DataFrame, lookups: Lookups, null_policy: str | None = Non
 
 
 def score_tables(unique: DataFrame, headings: Sequence[str] | None = None,
-                 settings: AnalysisSettings = DEFAULTS) -> dict[str, DataFrame]:
-    """The four score tables of de-duplicated hits."""
-    def table(**only) -> DataFrame:
-        return score_table(unique, cutoff=settings.length_cutoff, floor=settings.score_floor,
-                           headings=headings or settings.headings, **only)
-
-    return {"all": table(), "large": table(size="large"), "small": table(size="small"), "nucleoid": table(nucleoid_only=True)}
+                 settings: AnalysisSettings = DEFAULTS, stage: Stage = lazily) -> dict[str, DataFrame]:
+    """The four score tables of de-duplicated hits, from one aggregate; with a ``stage`` the hits are read once for all."""
+    counts = stage(flagged_counts(unique, settings.length_cutoff, settings.score_floor), "flagged_counts")
+    rows = {"all": F.lit(True), "large": F.col("large"), "small": ~F.col("large"), "nucleoid": F.col("nucleoid")}
+    return {name: counts_table(counts.filter(only), headings or settings.headings) for name, only in rows.items()}
 
 
 RESULTS = (
@@ -278,8 +277,12 @@ def run_workflow(hits: DataFrame, lookups: Lookups, taxonomy: DataFrame, out: st
     manifest.refresh("hits", wanted["hits"], lambda rows: only(processed, rows), sinks.write_hits_table, ("system",))
     unique = single("unique_hits", dedupe_spacers(stored("hits", processed), settings.database_preference, settings.null_policy))
     if any(manifest.known(f"score_table_{n}") != wanted[f"score_table_{n}"] for n in ("all", "large", "small", "nucleoid")):
-        for name, table in score_tables(unique, headings, settings).items():
-            manifest.refresh(f"score_table_{name}", wanted[f"score_table_{name}"], lambda _, t=table: t, sinks.write_score_table)
+        stage = SharedStage(spark)
+        try:
+            for name, table in score_tables(unique, headings, settings, stage).items():
+                manifest.refresh(f"score_table_{name}", wanted[f"score_table_{name}"], lambda _, t=table: t, sinks.write_score_table)
+        finally:
+            stage.discard()
     single("nucleoid_hits", annotate_taxonomy(unique, taxonomy, settings.annotated_score, settings.match_nulls))
     best = single("top_hits", top_hits(ungapped(classify(matches, lookups, settings)), settings.top_score))
     chosen = single("host_target_representatives", host_target_representatives(best))

@@ -164,19 +164,19 @@ def _unique_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir))
+    return report.score_table(_unique_hits(spark, sf_dir), stage=SharedStage(spark))
 
 
 def score_table_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir), size="large")
+    return report.score_table(_unique_hits(spark, sf_dir), size="large", stage=SharedStage(spark))
 
 
 def score_table_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir), size="small")
+    return report.score_table(_unique_hits(spark, sf_dir), size="small", stage=SharedStage(spark))
 
 
 def score_table_nf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_table(_unique_hits(spark, sf_dir), nucleoid_only=True)
+    return report.score_table(_unique_hits(spark, sf_dir), nucleoid_only=True, stage=SharedStage(spark))
 
 
 def taxonomy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

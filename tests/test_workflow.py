@@ -131,6 +131,28 @@ def test_settings_reach_their_operators(spark):
     assert rows_of(tables["large"], "score") == [(25.0,)]
 
 
+def test_score_tables_come_from_one_scan_of_the_hits(spark, tmp_path):
+    rows = [(f"s{k % 2}", "r" if k % 3 else "x", float(15 + k % 9) if k % 7 else None, [None, 100, 200_000, 300_000][k % 4],
+             [None, "NF", "non-NF"][k % 3], f"letters {k}") for k in range(120)]
+    path = str(tmp_path / "hits")
+    spark.createDataFrame(rows, "system string, shuffled string, score double, target_length int, nucleoid_forming string, alignment_seq string").write.parquet(path)
+    hits, staged = spark.read.parquet(path), []
+
+    def stage(table, name):
+        staged.append(table._jdf.queryExecution().optimizedPlan().toString())
+        table.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    tables = score_tables(hits, stage=stage)
+    assert len(staged) == 1 and staged[0].count("Relation") == 1 and staged[0].count("Aggregate") == 1
+    assert not any("/hits/" in f for t in tables.values() for f in t.inputFiles())
+    for name, only in {"all": {}, "large": {"size": "large"}, "small": {"size": "small"}, "nucleoid": {"nucleoid_only": True}}.items():
+        want = score_table(hits, **only)
+        assert tables[name].columns == want.columns and rows_of(tables[name], *want.columns) == rows_of(want, *want.columns)
+    lazy = score_tables(hits)
+    assert rows_of(lazy["small"]) == rows_of(tables["small"])
+
+
 def test_from_sequences_to_score_tables_of_three_systems(spark, tmp_path):
     import random
 
