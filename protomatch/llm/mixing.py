@@ -12,9 +12,10 @@ source, for every block by itself, and no task steps through a schedule.
 
 A node's half is less than one slot away from its part of the node's slots, so a
 source with share w is less than the sum of w / (shares of the node) over its path away
-from its target. Nodes on a path double in share with every other step up or faster, as neighbours on the
-line fill the larger cells, which keeps this sum below ``PARTS`` = 8. Slots therefore
-hold an eighth of a block (``block_bytes``), and at every prefix of the mix a source is less
+from its target. Neighbours on the line fill the larger cells, so shares of the nodes grow
+geometrically but for a few steps: the sum stays near 6 at most by this sketch of an argument, not a full
+proof, and a search for bad cases found 5 (``tests/llm/test_mixing.py`` has a smaller one). Slots
+hold an eighth of a block (``block_bytes``, ``PARTS`` = 8), so at every prefix of the mix a source is less
 than one block away from its target.
 
 The mix ends when every source has been read once. Until then shorter sources
