@@ -4,6 +4,7 @@ from protomatch.plans.workflow import (
     all_matches,
     classified_matches,
     classify,
+    index_with_control,
     match_table,
     process_all,
     process_matches,
@@ -20,6 +21,7 @@ __all__ = [
     "all_matches",
     "classified_matches",
     "classify",
+    "index_with_control",
     "match_table",
     "process_all",
     "process_matches",

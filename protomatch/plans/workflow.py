@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
@@ -40,6 +40,7 @@ from protomatch.operators.report import (
     top_hits,
 )
 from protomatch.operators.search import SearchSettings, query_extent, search
+from protomatch.operators.seed_index import SeedIndex, build_index, search_index
 from protomatch.operators.select import select_hits
 from protomatch.plans.manifest import Digests, Manifest, content_digests, digest
 from protomatch.sources import sinks
@@ -87,15 +88,27 @@ class Lookups:
     nucleoid_imgvr: DataFrame
 
 
-def search_with_control(queries: DataFrame, targets: DataFrame, settings: SearchSettings = SearchSettings(),
+def index_with_control(targets: DataFrame, folder: str, settings: SearchSettings = SearchSettings(),
+                       seed: int = 42, control_key: str = "xxhash64") -> dict[str, SeedIndex]:
+    """Prepare the targets and their shuffled control for several searches, by run."""
+    runs = {REAL_RUN: targets, SHUFFLED_TAG: shuffle_sequences(targets, "target_id", seed, control_key)}
+    return {run: build_index(t, f"{folder}/{run}", settings) for run, t in runs.items()}
+
+
+def search_with_control(queries: DataFrame, targets: DataFrame | Mapping[str, SeedIndex], settings: SearchSettings = SearchSettings(),
                         seed: int = 42, control_key: str = "xxhash64") -> DataFrame:
-    """Search the targets and their shuffled control alike; ``run`` tells which a hit is from."""
+    """Search the targets and their shuffled control alike; ``run`` tells which a hit is from.
+
+    Targets prepared by ``index_with_control`` have their control with them.
+    """
+    if isinstance(targets, Mapping):
+        return stack([search_index(queries, index, settings).withColumn("run", F.lit(run)) for run, index in targets.items()])
     extent = query_extent(queries, settings)
     runs = {REAL_RUN: targets, SHUFFLED_TAG: shuffle_sequences(targets, "target_id", seed, control_key)}
     return stack([search(queries, t, settings, extent).withColumn("run", F.lit(run)) for run, t in runs.items()])
 
 
-def tagged_search(queries: DataFrame, targets: DataFrame, system: str | Column, target_database: str | Column,
+def tagged_search(queries: DataFrame, targets: DataFrame | Mapping[str, SeedIndex], system: str | Column, target_database: str | Column,
                   settings: SearchSettings = SearchSettings(), seed: int = 42, control_key: str = "xxhash64") -> DataFrame:
     """Search with control, tagged with its system and database: rows as the analysis takes them.
 

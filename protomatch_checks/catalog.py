@@ -22,6 +22,7 @@ from protomatch.operators.enrich import (
 )
 from protomatch.operators.parse import coerce_numbers, parse_ids
 from protomatch.operators.search import SearchSettings, search
+from protomatch.operators.seed_index import build_index, search_index
 from protomatch.operators.select import select_hits
 from protomatch.plans import all_matches, classified_matches, classify, match_table, process_all, stack, tagged_search
 from protomatch.plans.workflow import is_kind
@@ -215,6 +216,14 @@ def seed_search_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
                   fixtures.target_sequences(spark, sf_dir))
 
 
+def prepared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets prepared once, searched by two sets of spacers."""
+    index = build_index(fixtures.target_sequences(spark, sf_dir), f"{SharedStage(spark).root}/index")
+    one = search_index(fixtures.spacer_sequences(spark, sf_dir), index, SearchSettings(both_strands=False))
+    both = search_index(fixtures.spacer_sequences(spark, sf_dir, reverse_some=True), index)
+    return stack([one.withColumn("search", F.lit("one strand")), both.withColumn("search", F.lit("both strands"))])
+
+
 def shuffled_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.shuffle_sequences(fixtures.target_sequences(spark, sf_dir), "target_id", key="md5")
 
@@ -315,6 +324,7 @@ QUERIES: dict[str, Query] = {
     "q36_search_to_score_table": search_to_score_table,
     "q37_gapped_search": gapped_search,
     "q38_gapped_search_long_seed": gapped_search_long_seed,
+    "q43_prepared_search": prepared_search,
     "q39_collapse_long_targets": collapse_long_targets,
     "q40_collapse_long_hits": collapse_long_hits,
     "q41_long_score_list": long_score_list,

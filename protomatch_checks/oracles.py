@@ -415,6 +415,7 @@ select l_orderkey, l_linenumber, cast(len(cells) as int) as cells,
 from (select l_orderkey, l_linenumber, string_split(rtrim(value, chr(13)), chr(9)) as cells from ({duck(fixtures.RAW_LINES)}) raw) split
 where len(cells) <> 9 or bad_columns <> ''""",
     "q38_gapped_search_long_seed": _GAPPED,
+    "q43_prepared_search": f"select 'one strand' as search, * from ({_search(False)}) union all select 'both strands', * from ({_search(True)})",
     "q36_search_to_score_table": _score_table(inputs=_SEARCHED),
     "q31_profile_screen": f"{_SCREEN} select * from screened",
     "q32_genome_classification": _CLASSIFY,
