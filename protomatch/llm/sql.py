@@ -6,7 +6,7 @@ from protomatch.llm.chosen_path import DENOMINATOR, NUMERATOR, RUN_WORDS
 from protomatch.llm.hard_negatives import LEAST, POSITIVES, SCALE
 from protomatch.llm.hard_negatives import NEGATIVES as NEGATIVES_EACH
 from protomatch.llm.lexical_search import LOWER, TERM, TOP, UPPER
-from protomatch.llm.licenses import BASE_PHRASES, BREAK, signature_rules
+from protomatch.llm.licenses import BASE_PHRASES, BREAK, expression_rules, gate_words, signature_rules
 from protomatch.llm.mixing import BLOCK_BYTES, DEPTH, EXPONENT, PARTS, POINTS
 from protomatch.llm.repeated_windows import LAST_ID
 from protomatch.llm.repeated_windows import LENGTH as WINDOW
@@ -53,11 +53,14 @@ select doc_id, source, s0::bigint as mix_slot, (part // {PARTS})::bigint as mix_
 
 def license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    named, expressions = signature_rules(), expression_rules()
     rules = ",\n".join(
-        f"({k}, {quoted(r.label)}, {quoted(r.pattern)}, {r.n_words}, {r.confidence})" for k, r in enumerate(signature_rules()))
+        f"({k}, {quoted(r.label)}, {quoted(r.pattern)}, {quoted(r.keyword)}, {r.confidence}, {r.n_words > 0})" for k, r in enumerate([*named, *expressions]))
     base = ",\n".join(f"({quoted(label)}, {quoted(phrase)}, {phrase.count(' ') + 1})" for phrase, label in BASE_PHRASES)
+    any_expression = "|".join(r.pattern for r in expressions)
+    held = "|".join(gate_words(expressions))
     return f"""
-with rules(rank, label, pattern, n, confidence) as (values {rules}),
+with rules(rank, label, pattern, keyword, confidence, named) as (values {rules}),
 base(label, phrase, n) as (values {base}),
 docs as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -68,10 +71,17 @@ starts as (
   where list_has_any(words, ['license', 'licensed', 'cc', 'gpl', 'creative'])
 ),
 texts as (select doc_id, start, list_aggregate(words[start + 1:start + 14], 'string_agg', ' ') || ' ' as ahead from starts),
-likely as (select * from texts where regexp_matches(ahead, '^([^ ]+ ){{0,4}}(gnu|apache|mit|bsd|mozilla|eclipse|common|european|isc|zlib|artistic|boost|python|open|sil|cc|creative|simplified|new|modified) ')),
-detected as (
-  select doc_id, start, start + n as finish, rank, label, confidence from likely, rules where regexp_matches(ahead, '^' || pattern || ' ')
+likely as (select *, true as named from texts where regexp_matches(ahead, '^([^ ]+ ){{0,5}}(gnu|apache|mit|bsd|mozilla|eclipse|common|european|isc|zlib|artistic|boost|python|open|sil|cc|creative|simplified|new|modified) ')),
+further as (
+  select doc_id, start, array_to_string(words[start + 1:start + 160], ' ') || ' ' as ahead, false as named
+  from (select doc_id, words, unnest(range(0, len(words))) as start from docs where regexp_matches(array_to_string(words, ' '), '{held}'))
 ),
+tried as materialized (select * from likely union all select * from further where regexp_matches(ahead, '^(?:{any_expression}) ')),
+matched as (
+  select doc_id, start, rank, label, confidence, regexp_extract(ahead, '^(' || pattern || ') ', 1) as found from tried join rules using (named)
+  where contains(ahead, keyword)
+),
+detected as (select *, start + len(string_split(found, ' ')) as finish from matched where found <> ''),
 kept as (
   select * from (select *, coalesce(max(finish) over (partition by doc_id order by start, finish desc, rank
     rows between unbounded preceding and 1 preceding), 0) as reach from detected) where finish > reach
