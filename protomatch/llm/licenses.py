@@ -335,7 +335,10 @@ def _places(norm: Column, rule: Column) -> Column:
 
 def _detect(norm: Column, rules: list[Rule]) -> Column:
     """All detections of a text, in the order in which suppression looks at them."""
-    tried = F.filter(_literal(rules), lambda r: F.contains(norm, r["keyword"]))
+    # Each keyword is looked for once, not once per rule.
+    present = F.filter(F.from_json(F.lit(json.dumps(sorted({r.keyword for r in rules}))), "array<string>"), lambda k: F.contains(norm, k))
+    tried = F.flatten(F.transform(F.array(present), lambda words: F.when(F.size(words) > 0, F.filter(
+        _literal(rules), lambda r: F.array_contains(words, r["keyword"]))).otherwise(F.slice(_literal(rules), 1, 0))))
     found = F.transform(tried, lambda r: F.transform(_places(norm, r), lambda x: F.struct(
         x["s"].alias("start"), (-(x["s"] + x["n"])).alias("minus_end"), r["rank"].alias("rank"),
         r["label"].alias("label"), r["confidence"].alias("confidence"),
