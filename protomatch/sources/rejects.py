@@ -53,8 +53,9 @@ def rejected_cells(lines: DataFrame, layout: Layout, line_col: str = "value") ->
     if clash:
         raise ValueError(f"columns of the result are already there: {sorted(clash)}")
     columns = layout.columns()
-    text = F.rtrim(F.col(line_col), F.lit("\r"))
-    split = lines.withColumn("cells_", F.split(text, "\t", -1)).filter(F.length(text) > 0)
+    # Filters are not moved below a generated column, so a line is made and split once, whatever looks at its cells.
+    cut = F.split(F.rtrim(F.col(line_col), F.lit("\r")), "\t", -1)
+    split = lines.select("*", F.explode(F.array(cut)).alias("cells_")).filter((F.size("cells_") > 1) | (F.get("cells_", F.lit(0)) != ""))
 
     def bad(i: int, name: str, kind: str) -> Column:
         cell = missing_text(F.get("cells_", F.lit(i)))

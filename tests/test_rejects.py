@@ -65,3 +65,11 @@ def test_lengths_skip_the_header_and_names_do_not_clash(spark, tmp_path):
     with pytest.raises(ValueError):
         rejected_cells(spark.createDataFrame([("a", 1)], "value string, cells int"), LAYOUTS["hits"])
     assert rejected_cells(spark.createDataFrame([], "value string"), LAYOUTS["hits"]).count() == 0
+
+
+def test_a_line_is_split_once_whatever_looks_at_its_cells(spark):
+    lines = spark.createDataFrame([(GOOD,), ("",), (None,), ("\r",), ("\t",)], "value string")
+    found = rejected_cells(lines, LAYOUTS["hits"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert rows_of(found, "cells", "reason") == [(2, TOO_FEW)]
