@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import executed_plan, rows_of, settings
 from protomatch.operators.control import length_class, shuffle_sequences
@@ -153,3 +154,22 @@ def test_the_control_is_searched_like_the_targets(spark):
     assert rows_of(found.filter("run = 'non-shuffled'"), *COLUMNS) == rows_of(search(q, t), *COLUMNS)
     control = search(q, shuffle_sequences(t, "target_id"))
     assert rows_of(found.filter("run = 'shuffled'"), *COLUMNS) == rows_of(control, *COLUMNS)
+
+
+def test_words_are_shifted_out_of_pieces(spark):
+    from protomatch.operators.search import WORD, _pieces, _word_array
+
+    digits = ["0123454321" * n + "35" for n in (3, 4, 9)] + ["5" * WORD, "4" * (2 * WORD)]
+    table = spark.createDataFrame([(d,) for d in digits], "digits string").select(
+        "digits", F.length("digits").alias("width"), _pieces(F.col("digits")).alias("pieces"))
+    for row in table.select("digits", _word_array(F.col("pieces"), F.col("width")).alias("words")).collect():
+        assert row["words"] == [int(row["digits"][i:i + WORD], 8) for i in range(len(row["digits"]) - WORD + 1)]
+
+
+def test_a_target_letter_is_not_converted_once_per_word(spark):
+    from protomatch.operators.search import target_words
+
+    targets = spark.createDataFrame([("t", "ACGT" * 30)], "target_id string, seq string")
+    plan = target_words(targets, SearchSettings(), 3)._jdf.queryExecution().optimizedPlan().toString()
+    # Digits become numbers in pieces that lie end to end; words are shifts of these.
+    assert plan.count("conv(") == 1 and "shiftleft(" in plan
