@@ -11,11 +11,18 @@ SHUFFLED_TAG = "shuffled"
 SEARCH_CUT = 150_000
 # Sequences of at least this many letters are permuted in buckets, by tiles of letters and leading digits of the hash.
 LONG_FROM, TILE, BUCKET_DIGITS = 1_000_000, 4096, 2
+# Added to a place, so that its text has ten digits.
+_PLACES = 4_000_000_000
+
+
+def _prefix(id_column: str, seed: int) -> Column:
+    """What the md5 texts of one sequence begin with."""
+    return F.concat_ws("/", F.lit(str(seed)), F.col(id_column).cast("string"), F.lit("")).alias("__prefix")
 
 
 def _hash(id_column: str, place: Column, seed: int, key: str) -> Column:
     if key == "md5":
-        return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_column).cast("string"), place.cast("string")))
+        return F.md5(F.concat(F.col("__prefix"), place.cast("string")))
     if key == "xxhash64":
         return F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col(id_column), place)), 16, "0")
     raise ValueError(f"key must be 'xxhash64' or 'md5', not {key!r}")
@@ -23,7 +30,7 @@ def _hash(id_column: str, place: Column, seed: int, key: str) -> Column:
 
 def _keyed(id_column: str, letter: Column, place: Column, seed: int, key: str) -> Column:
     """Hash, place and letter in one text: plain text sorts much faster than structs."""
-    return F.concat(_hash(id_column, place, seed, key), F.lpad(place.cast("string"), 10, "0"), letter)
+    return F.concat(_hash(id_column, place, seed, key), (place + F.lit(_PLACES).cast("bigint")).cast("string"), letter)
 
 
 def _letters_in_order(keyed: Column) -> Column:
@@ -39,10 +46,10 @@ def _permuted_by_buckets(sequences: DataFrame, id_column: str, seed: int, key: s
     """
     name = F.xxhash64("seq")
     tiles = sequences.select(
-        id_column, name.alias("__name"), F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0))).alias("__tile", "__piece"))
+        id_column, name.alias("__name"), _prefix(id_column, seed), F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0))).alias("__tile", "__piece"))
     tiles = tiles.repartition(id_column, "__tile")
     place = (F.col("__tile") * TILE + F.col("__at") + 1).cast("int")
-    letters = tiles.select(id_column, "__name", "__tile", F.posexplode(F.split("__piece", "")).alias("__at", "__letter"))
+    letters = tiles.select(id_column, "__name", "__prefix", "__tile", F.posexplode(F.split("__piece", "")).alias("__at", "__letter"))
     letters = letters.select(id_column, "__name", _keyed(id_column, F.col("__letter"), place, seed, key).alias("__keyed"))
     buckets = letters.groupBy(id_column, "__name", F.substring("__keyed", 1, BUCKET_DIGITS).alias("__bucket")).agg(
         _letters_in_order(F.collect_list("__keyed")).alias("__text"))
@@ -64,9 +71,10 @@ def shuffle_sequences(sequences: DataFrame, id_column: str, seed: int = 42, key:
     partitions = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = F.transform(F.split("seq", ""), lambda c, i: _keyed(id_column, c, i + 1, seed, key))
     short = sequences if long_from is None else sequences.filter(F.coalesce(F.length("seq") < long_from, F.lit(True)))
-    # The hash needs the original id, so the id gets its tag in a step of its own.
-    spread = short.repartition(partitions, id_column)
-    done = spread.withColumn("seq", F.when(F.length("seq") > 0, _letters_in_order(keyed)).otherwise(F.col("seq")))
+    # The hash needs the original id, so the id gets its tag in a step of its own. What all letters of a
+    # sequence share is made before the spreading, hence once.
+    spread = short.select("*", _prefix(id_column, seed)).repartition(partitions, id_column)
+    done = spread.withColumn("seq", F.when(F.length("seq") > 0, _letters_in_order(keyed)).otherwise(F.col("seq"))).drop("__prefix")
     if long_from is not None:
         long = sequences.filter(F.length("seq") >= long_from)
         permuted = _permuted_by_buckets(long.select(id_column, "seq").distinct(), id_column, seed, key)

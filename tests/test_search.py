@@ -173,3 +173,12 @@ def test_a_target_letter_is_not_converted_once_per_word(spark):
     plan = target_words(targets, SearchSettings(), 3)._jdf.queryExecution().optimizedPlan().toString()
     # Digits become numbers in pieces that lie end to end; words are shifts of these.
     assert plan.count("conv(") == 1 and "shiftleft(" in plan
+
+
+def test_what_the_letters_of_a_control_sequence_share_is_made_once(spark):
+    targets = spark.createDataFrame([("t", "ACGTN" * 5), ("v", "AC"), ("u", None)], "target_id string, seq string")
+    plan = shuffle_sequences(targets, "target_id", key="md5", long_from=None)._jdf.queryExecution().optimizedPlan().toString()
+    # Below the spreading, not in the function applied to each letter.
+    assert plan.index("concat_ws(") > plan.index("Repartition")
+    long = shuffle_sequences(targets, "target_id", key="md5", long_from=3)
+    assert rows_of(long, "target_id", "seq") == rows_of(shuffle_sequences(targets, "target_id", key="md5"), "target_id", "seq")
