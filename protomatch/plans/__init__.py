@@ -2,6 +2,7 @@ from protomatch.plans.workflow import (
     AnalysisSettings,
     Lookups,
     all_matches,
+    classified_kind,
     classified_matches,
     classify,
     index_with_control,
@@ -19,6 +20,7 @@ __all__ = [
     "AnalysisSettings",
     "Lookups",
     "all_matches",
+    "classified_kind",
     "classified_matches",
     "classify",
     "index_with_control",

@@ -12,14 +12,16 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from protomatch.operators.dedupe import dedupe_spacers
-from protomatch.operators.enrich import ungapped
+from protomatch.operators.enrich import classify_genbank, classify_imgvr, ungapped
 from protomatch.operators.report import score_table
 from protomatch.operators.search import SearchSettings
 from protomatch.plans import (
     AnalysisSettings,
     all_matches,
+    classified_kind,
     classified_matches,
     classify,
+    match_table,
     process_all,
     run_workflow,
     score_tables,
@@ -178,3 +180,23 @@ def test_from_sequences_to_score_tables_of_three_systems(spark, tmp_path):
     rows = spark.read.option("header", True).option("inferSchema", True).csv(paths["score_table_all"]).collect()
     best = {r["score"]: r.asDict() for r in rows}[32.0]
     assert [best[f"{s}_non-shuffled"] for s in systems] == [4, 4, 4]
+
+
+def test_targets_are_labelled_before_the_hits_look_them_up(spark):
+    hits, look = fixtures.search_hits(spark, DATA), fixtures.lookups(spark, DATA)
+    for kind, labelled in (("genbank", classify_genbank), ("imgvr", classify_imgvr)):
+        own = hits.filter(F.col("target_database").startswith("gb" if kind == "genbank" else "IMGVR"))
+        # Some targets twice, and labels of targets that the other lookups do not know.
+        twice = replace(look, phage_names=look.phage_names.union(look.phage_names.limit(50)), imgvr_metadata=look.imgvr_metadata.union(look.imgvr_metadata.limit(50)),
+                        nucleoid_imgvr=look.nucleoid_imgvr.union(look.nucleoid_imgvr.limit(50)))
+        for side in (look, twice):
+            table = classified_kind(own, side, kind)
+            labels = side.nucleoid_genbank if kind == "genbank" else side.nucleoid_imgvr
+            want = labelled(match_table(own, side, kind), labels)
+            assert table.columns == want.columns
+            assert table.exceptAll(want).count() == want.exceptAll(table).count() == 0
+        # A condition on the label is met before the spacer details are looked up.
+        plan = table.filter("nucleoid_forming = 'NF'")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        details = next(i for i, x in enumerate(plan) if "Join" in x and "gcf#" in x and "crispr#" in x)
+        assert any("Join" in x and "target_id#" in x for x in plan[details:])
+        assert not any("Filter" in x and "nucleoid_forming" in x for x in plan[:details])
