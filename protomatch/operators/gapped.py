@@ -27,9 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MISMATCH_PENALTY, GAP_PENALTY = 2, 3
 # Letters next to the seed, on either side, that the first filter looks at; with the gaps they fit a packed word.
-_NEAR = 12
-# Candidates whose alignments are computed together.
-_STEP = 2048
+NEAR = 12
+# Candidates whose alignments are computed together, at most and at least, and the bytes of their steps.
+STEP, _LEAST_STEP, _STEPS_BYTES = 8192, 64, 1 << 24
 _FAR = 10_000
 _DIAGONAL, _INSERTION, _DELETION = 1, 2, 3
 PLACED = (
@@ -85,18 +85,18 @@ def align_sides(query: np.ndarray, lengths: np.ndarray, target: np.ndarray, room
 
     ``room`` is how many target letters there are before the target ends.
     """
-    n, known = len(query), states(gaps)
+    n, known, far = len(query), states(gaps), np.int16(_FAR)
     at = {s: k for k, s in enumerate(known)}
     most = int(lengths.max(initial=0))
-    now = np.full((len(known), n), _FAR, np.int32)
+    now = np.full((len(known), n), _FAR, np.int16)
     now[0] = 0
     steps = np.zeros((most + 1, len(known), n), np.uint8)
-    final = np.full((len(known), n), _FAR, np.int32)
+    final = np.full((len(known), n), _FAR, np.int16)
     for j in range(most + 1):
         for s, (k, d) in enumerate(known):
             source = at.get((k - 1, d - 1))
             if source is not None and j + d - 1 >= 0:
-                cost = np.where(j + d - 1 < room, now[source], _FAR)
+                cost = np.where(j + d - 1 < room, now[source], far)
                 better = cost < now[s]
                 now[s][better] = cost[better]
                 steps[j, s][better] = _DELETION
@@ -107,15 +107,15 @@ def align_sides(query: np.ndarray, lengths: np.ndarray, target: np.ndarray, room
         after = np.full_like(now, _FAR)
         for s, (k, d) in enumerate(known):
             if 0 <= j + d < target.shape[1]:
-                unlike = (query[:, j] != target[:, j + d]).astype(np.int32)
-                after[s] = np.where(j + d < room, now[s] + unlike, _FAR)
+                unlike = (query[:, j] != target[:, j + d]).astype(np.int16)
+                after[s] = np.where(j + d < room, now[s] + unlike, far)
                 steps[j + 1, s] = _DIAGONAL
             source = at.get((k - 1, d + 1))
             if source is not None:
                 better = now[source] < after[s]
                 after[s][better] = now[source][better]
                 steps[j + 1, s][better] = _INSERTION
-        now = np.minimum(after, _FAR)
+        now = np.minimum(after, far)
     return final, steps
 
 
@@ -126,7 +126,7 @@ def _choose(left: np.ndarray, right: np.ndarray, allowed: np.ndarray, gaps: int)
     def of_gaps(final: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         own = sorted((s for s, (j, _) in enumerate(known) if j == k), key=lambda s: (abs(known[s][1]), -known[s][1]))
         place = np.argmin(final[own], axis=0)
-        return final[own].min(0), np.array(own)[place]
+        return final[own].min(0).astype(np.int64), np.array(own)[place]
 
     sides = [[of_gaps(final, k) for k in range(gaps + 1)] for final in (left, right)]
     n = left.shape[1]
@@ -176,12 +176,12 @@ def place_candidates(batches: Iterator[pa.RecordBatch], seed: int, flanks: int,
     names = [x.split()[0] for x in PLACED.split(", ")]
     for batch in batches:
         for start in range(0, batch.num_rows, 1 << 16):
-            found = _placed(batch.slice(start, 1 << 16), seed, flanks, per_word, gaps, identity)
+            found = _placed_batch(batch.slice(start, 1 << 16), seed, flanks, per_word, gaps, identity)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=names)
 
 
-def _placed(batch: pa.RecordBatch, seed: int, flanks: int, per_word: int, gaps: int, identity: int) -> list[tuple]:
+def _placed_batch(batch: pa.RecordBatch, seed: int, flanks: int, per_word: int, gaps: int, identity: int) -> list[tuple]:
     number = lambda name, rows=None: batch.column(name).to_numpy(zero_copy_only=False) if rows is None else batch.column(name).to_numpy(zero_copy_only=False)[rows]
     length, before = number("query_length").astype(np.int64), number("offset").astype(np.int64) - 1
     allowed = (100 - identity) * length // 100
@@ -189,31 +189,49 @@ def _placed(batch: pa.RecordBatch, seed: int, flanks: int, per_word: int, gaps:
     edits = np.zeros(batch.num_rows, np.int64)
     for side, own, outwards in ((0, before, False), (flanks, after, True)):
         query, target = (_letters([number(f"{kind}{side}")], per_word, outwards) for kind in "qt")
-        edits += nearest_edits(query[:, :_NEAR], np.minimum(own, _NEAR), target[:, :_NEAR + gaps])
+        edits += nearest_edits(query[:, :NEAR], np.minimum(own, NEAR), target[:, :NEAR + gaps])
     rows = np.flatnonzero(edits <= allowed)
+    step = step_of(int(length.max(initial=1)), gaps)
     out = []
-    for at in range(0, len(rows), _STEP):
-        part = rows[at:at + _STEP]
+    for at in range(0, len(rows), step):
+        part = rows[at:at + step]
         sides = []
         place, target_length = number("place", part).astype(np.int64), number("target_length", part).astype(np.int64)
         for first, own, outwards, room in (
             (0, before[part], False, place - 1), (flanks, after[part], True, target_length - (place + seed - 1)),
         ):
             query, target = (_letters([number(f"{kind}{first + j}", part) for j in range(flanks)], per_word, outwards) for kind in "qt")
-            sides.append((target, own, *align_sides(query, own, target, room, gaps)))
-        penalty, state_left, state_right = _choose(sides[0][2], sides[1][2], allowed[part], gaps)
-        good = np.flatnonzero(penalty < _FAR)
-        texts = {name: batch.column(name).take(pa.array(part[good])).to_pylist() for name in ("spacer_id", "target_id", "strand")}
+            sides.append((query, own, target, room))
         words = (number("seed_word", part)[:, None] >> (3 * (seed - 1 - np.arange(seed))) & 7).astype(np.uint8)
-        known = states(gaps)
-        for n, row in enumerate(good.tolist()):
-            left = _path(sides[0][3], row, int(sides[0][1][row]), state_left[row], sides[0][0], gaps)
-            right = _path(sides[1][3], row, int(sides[1][1][row]), state_right[row], sides[1][0], gaps)
-            columns = [*left, *[("M", "ACGTN"[x]) for x in words[row].tolist()], *reversed(right)]
-            total = known[state_left[row]][0] + known[state_right[row]][0]
-            mismatches = int(sides[0][2][state_left[row], row] + sides[1][2][state_right[row], row])
-            position = int(place[row] - before[part][row]) - known[state_left[row]][1]
-            out.append((
-                texts["spacer_id"][n], texts["target_id"][n], texts["strand"][n], position, _details(columns), mismatches, total,
-                "".join(x for _, x in columns), len(columns)))
+        good, columns = placed(sides, words, place, allowed[part], gaps)
+        texts = [batch.column(name).take(pa.array(part[good])).to_pylist() for name in ("spacer_id", "target_id", "strand")]
+        out += zip(*texts, *columns, strict=True)
     return out
+
+
+def step_of(longest: int, gaps: int) -> int:
+    """How many candidates are aligned together, so that their steps stay within a bound."""
+    return max(_LEAST_STEP, min(STEP, _STEPS_BYTES // (longest * len(states(gaps)))))
+
+
+def placed(sides: list[tuple[np.ndarray, ...]], words: np.ndarray, place: np.ndarray, allowed: np.ndarray, gaps: int) -> tuple[np.ndarray, list[list]]:
+    """Which candidates have an alignment that is good enough, and its position, details, mismatches, gap letters, letters and columns.
+
+    ``sides`` has the query's and the target's letters left and right of the seed, outwards, the number of the former
+    and the room; ``words`` the letters of the seed.
+    """
+    (_, before, target_left, _), (_, after, target_right, _) = sides
+    (left_final, left_steps), (right_final, right_steps) = (align_sides(q, own, t, room, gaps) for q, own, t, room in sides)
+    penalty, state_left, state_right = _choose(left_final, right_final, allowed, gaps)
+    good = np.flatnonzero(penalty < _FAR)
+    known = states(gaps)
+    out = []
+    for row in good.tolist():
+        left = _path(left_steps, row, int(before[row]), state_left[row], target_left, gaps)
+        right = _path(right_steps, row, int(after[row]), state_right[row], target_right, gaps)
+        columns = [*left, *[("M", "ACGTN"[x]) for x in words[row].tolist()], *reversed(right)]
+        total = known[state_left[row]][0] + known[state_right[row]][0]
+        mismatches = int(left_final[state_left[row], row]) + int(right_final[state_right[row], row])
+        position = int(place[row] - before[row]) - known[state_left[row]][1]
+        out.append((position, _details(columns), mismatches, total, "".join(x for _, x in columns), len(columns)))
+    return good, [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in range(6)]
