@@ -14,6 +14,7 @@ from protomatch.plans.workflow import (
     search_with_control,
     stack,
     tagged_search,
+    ungapped_matches,
 )
 
 __all__ = [
@@ -32,4 +33,5 @@ __all__ = [
     "search_with_control",
     "stack",
     "tagged_search",
+    "ungapped_matches",
 ]

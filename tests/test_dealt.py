@@ -1,0 +1,90 @@
+"""Tables staged in buckets: what they save, and when they are read without."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from helpers import executed_plan, hits, rows_of, settings
+from protomatch.operators.collapse import collapse_targets
+from protomatch.operators.select import SPACER_KEYS, select_hits
+from protomatch.plans import Lookups, process_all
+from protomatch.sources.staging import SharedStage
+from protomatch_checks import fixtures
+
+JOINS_BY_SHUFFLE = {"spark__sql__autoBroadcastJoinThreshold": "-1"}
+
+
+def some_hits(spark):
+    """Ties, repeated rows and missing values of every key."""
+    rows = [
+        {"spacer_seq": f"S{k % 7}", "gcf": f"G{k % 3}", "target_id": f"T{k % 5}", "score": float(20 + k % 4),
+         "target_completeness": None if k % 11 == 0 else float(k % 2), "position": k % 9}
+        for k in range(120)
+    ]
+    odd = [{"spacer_seq": None}, {"system": None}, {"gcf": None}, {"gcf": None}, {"target_id": None}, {"score": None, "spacer_seq": "S1", "run": "shuffled"},
+           {"target_completeness": None, "spacer_seq": "S9"}]
+    return hits(spark, *rows, *rows[:10], *odd)
+
+
+def test_rules_over_buckets_give_the_same_rows(spark):
+    plain = some_hits(spark)
+    stage = SharedStage(spark)
+    stored, buckets = stage.dealt(plain, "hits", SPACER_KEYS)
+    assert buckets == 8 and rows_of(stored) == rows_of(plain)
+    with settings(spark, **JOINS_BY_SHUFFLE):
+        for upto in ("score", "completeness", "support"):
+            for policy in ("propagate", "ignore"):
+                want = rows_of(select_hits(plain, upto, policy))
+                assert want and rows_of(select_hits(stored, upto, policy, buckets=buckets)) == want
+    stage.discard()
+
+
+def test_no_rule_but_the_last_moves_rows_in_buckets(spark):
+    stage = SharedStage(spark)
+    stored, buckets = stage.dealt(some_hits(spark), "hits", SPACER_KEYS)
+    with settings(spark, **JOINS_BY_SHUFFLE):
+        for upto in ("score", "completeness"):
+            assert "Exchange" not in executed_plan(select_hits(stored, upto, buckets=buckets))
+        again, buckets = stage.dealt(select_hits(stored, buckets=buckets), "selected", SPACER_KEYS)
+        collapsed = collapse_targets(again, buckets=buckets)
+        assert "Exchange" not in executed_plan(collapsed)
+        assert rows_of(collapsed) == rows_of(collapse_targets(select_hits(some_hits(spark))))
+    stage.discard()
+
+
+def test_a_frequent_key_is_read_without_buckets(spark):
+    rows = spark.range(300).select(F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    stage = SharedStage(spark)
+    table, buckets = stage.dealt(rows, "some", ["k"], least_share=50)
+    assert buckets is None and rows_of(table) == rows_of(rows)
+    with settings(spark, **JOINS_BY_SHUFFLE):
+        assert "SelectedBucketsCount" not in executed_plan(table.groupBy("k").count())
+    # Missing keys never join, so many of them are no reason.
+    missing = rows.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    assert stage.dealt(missing, "missing", ["k"], least_share=50)[1] == 8
+    assert stage.dealt(rows.limit(0), "none", ["k"])[0].count() == 0
+    stage.discard()
+    assert not [t for t in stage.tables if spark.catalog.tableExists(t)]
+
+
+def test_hits_meet_their_lookups_without_a_shuffle(spark, tmp_path):
+    """Of the raw hits only those selected move, and the stored tables are in buckets."""
+    look = fixtures.lookups(spark, "/root/testdata/sf0.001")
+    assert isinstance(look, Lookups)
+    written = []
+
+    class Watched(SharedStage):
+        def dealt(self, table, name, by, **options):
+            with settings(spark, **JOINS_BY_SHUFFLE):
+                written.append((name, [x for x in table._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"Exchange hashpart.*", x)]))
+                return super().dealt(table, name, by, **options)
+
+    stage = Watched(spark)
+    process_all(fixtures.search_hits(spark, "/root/testdata/sf0.001"), look, stage=stage).count()
+    names = [name for name, _ in written]
+    assert names == ["spacer_details", "parsed_genbank", "labelled_genbank", "parsed_imgvr", "labelled_imgvr", "ungapped", "selected"]
+    assert not dict(written)["parsed_genbank"] and not dict(written)["parsed_imgvr"]
+    assert not any("spacer_seq" in x or "crispr" in x for x in dict(written)["ungapped"])
+    stage.discard()
